@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from veriscribe.llm.common import materialise, table
 LIMIT = 4096
 END_ID = 1
 #: Words kept with their ids in a worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
 
 
 def default_tokenizer() -> str:
@@ -39,8 +40,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Kept(dict):
+    """Encodings of words, made when first asked for; all go when they are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordEncoder:
-    """Token ids of texts under a tokenizer that drops white space, so that words can be encoded alone and kept."""
+    """Token ids of texts under a tokenizer that drops white space, so that words can be encoded alone and kept.
+
+    A word that is new is normalised and cut as the tokenizer does it; its parts go to the tokenizer's model,
+    again only if they are new. Words that may hold a special token are encoded by the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,33 +69,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words, self.parts = Kept(self._word), Kept(self._part)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
+        probe = "It's  a Tést\n12x!? (of words),\u3000don't"
+        self.by_word = next(self._by_word([probe])) == self._whole(probe)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, text: str) -> list[str]:
-        # str.split() also splits at these four, which the tokenizer takes as symbols
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.split(text)
-        return text.split()
+    def _part(self, part: str) -> bytes:
+        return np.array([x.id for x in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if any(x in word for x in self.special):
+            return self._whole(word)
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
+        return b"".join([self.parts[x] for x, _ in parts])
+
+    def _by_word(self, texts: list[str | None]) -> Iterator[bytes]:
+        for text in texts:
+            text = text or ""
+            # str.split() also splits at these four, which the tokenizer takes as symbols
+            odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+            words = self.split(text) if odd else text.split()
+            yield b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        for text in texts:
-            words = self.words(text or "")
-            new = list(set(words).difference(self.cache))
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = list(set(words))
-                for i in range(0, len(new), 20_000):
-                    part = new[i : i + 20_000]
-                    for word, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        self.cache[word] = np.array(x.ids, "<u4").tobytes()
-            yield b"".join(map(self.cache.__getitem__, words))
-            if new:
-                for word in new:
-                    if len(word) > CACHE_CHARS:
-                        del self.cache[word]
+        return self._by_word(texts) if self.by_word else map(self._whole, [x or "" for x in texts])
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker keeps its encoder, and the words it knows, from task to task."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -87,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = EN
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             out: list[list] = [[] for _ in fields]

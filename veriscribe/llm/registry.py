@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from veriscribe.llm import best_fit_packing, simhash
+from veriscribe.llm import best_fit_packing, decontaminate, language_model, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.query,
+        "op4_toxicity": toxicity.query,
+        "op6_language_model": language_model.query,
         "op9_best_fit_packing": best_fit_packing.query,
         "op10_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_decontaminate": decontaminate.SQL}

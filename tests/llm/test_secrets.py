@@ -1,0 +1,45 @@
+import random
+import re
+
+from veriscribe.llm import secrets
+
+
+def brute(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 1, m.end(), "assign"))
+    for k, kind, pattern, least in ((2, "access", "AKIA[A-Z0-9]+", 20), (3, "hex", "[0-9a-f]+", 24)):
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+def test_base_equals_brute_force(spark):
+    rng = random.Random(1)
+    parts = ["token", "ToKeN", "api_key", "secret", "=", ":", " ", '"', "'", "abcdef", "abc", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "9", "é", "𝄞", "\n", "/", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "secret=token:abcdefgh", "token = " * 3000 + "abcdefg", "a" * 100_000, "AKIA" * 40_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    got = {r.doc_id: r for r in secrets.secrets(df).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].base] == brute(t), t
+        assert set(map(tuple, got[i].base)) <= set(map(tuple, got[i].all_spans))
+    assert secrets.secrets(df.limit(0)).count() == 0
+
+
+def test_weak_candidates_need_their_parts(spark):
+    weak = "Zx9" + "kQ2rT7mW" * 3
+    texts = [
+        f"client_id: acme-dev and host = db.example.org then {weak} end",  # all parts near
+        f"only {weak} here",
+        f"client_id: acme-dev {weak}",  # one part
+        f"client_id: acme-dev host = db.example.org {'word ' * 100} {weak}",  # too far
+        f"{weak} bearer, user: someone",
+        f"host: db.example.org user: someone 0123456789abcdef01 ok",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 2, "doc_id long, text string")
+    got = [(r.doc_id, [(r_.start, r_.end) for r_ in r.all_spans if r_.kind == "linked"]) for r in secrets.secrets(df).collect()]
+    at = texts[0].index(weak)
+    assert sorted(got, key=repr) == sorted(
+        [(0, [(at, at + len(weak))]), (1, []), (2, []), (3, []), (4, [(0, len(weak))]), (5, [(35, 53)]), (None, [(at, at + len(weak))]), (None, [(at, at + len(weak))])], key=repr
+    )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from veriscribe.llm import best_fit_packing, decontaminate, language_model, simhash, toxicity
+from veriscribe.llm import best_fit_packing, decontaminate, language_model, pii, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
         "op4_toxicity": toxicity.query,
+        "op5_pii": pii.query,
         "op6_language_model": language_model.query,
+        "op7_quality_rules": quality_rules.query,
+        "op8_secrets": secrets.query,
         "op9_best_fit_packing": best_fit_packing.query,
         "op10_simhash": simhash.query,
     }

@@ -33,7 +33,7 @@ from veriscribe.llm.common import materialise, table
 FOLDS, HELD_OUT = 7, 2
 #: One in so many documents, by the other digits of the hash, makes the deleted part.
 DELETED = 12
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 12_000_000
 #: Buckets of contexts by the logarithm of their count, and cells for the logarithms of both estimates.
 CONTEXTS, CELLS, STEPS = 28, 40, 200
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -279,7 +279,7 @@ def scores(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     compiled = shards(docs, shard_bytes)
     made = compiled.count()
-    ranges = 1 << max(0, (max(8, made) - 1).bit_length())
+    ranges = 1 << max(3, (made // 2).bit_length())  # each with about the n-grams of two shards or more
     answers = totals(compiled, ranges)
     sums = answers.where("shard = -1").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "distinct_", "kept_total", "kept_distinct")]).first()
     known = ["doc_ids", "held_out", "hashes", "tokens", "lengths"]

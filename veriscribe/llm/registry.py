@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veriscribe.llm import best_fit_packing, decontaminate, language_model, pii, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from veriscribe.llm import best_fit_packing, decontaminate, html_extraction, language_model, pii, quality_rules, secrets, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.query,
+        "op2_html_extraction": html_extraction.query,
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_toxicity": toxicity.query,
         "op5_pii": pii.query,

@@ -190,13 +190,13 @@ def _and_end(batches: Iterator) -> Iterator:
 
 
 def components(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(fp, component_id) for each distinct fp of prints(doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fp of prints(doc_id, fp); a component without an id has a null component_id."""
     least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(least.select("fp"), distance, blocks, chunk))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK, width: int = WIDTH) -> DataFrame:

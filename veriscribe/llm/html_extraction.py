@@ -9,8 +9,8 @@ with most of its text, say nothing and are left out. Elements that name themselv
 sidebars, notices, adverts, forms, comments or code are no content at any place, and where a page marks its
 article or main part, content is what that holds.
 
-Peers are chosen by minima with partial sums, and join the pages by host; Spark broadcasts them only under its
-size threshold. The pages are read whole, and no host's pages are gathered.
+Peers are chosen by minima with partial sums. They are broadcast if all of them together are under a size that is
+checked, else joined with the pages by host in a shuffle. The pages are read whole, and no host's pages are gathered.
 
 A null html is an empty page with the empty text; a null url has the empty host. Repeated rows stay.
 """
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscribe.llm.common import table
+from veriscribe.llm.common import materialise, table
 
 #: Pages of a host that others are aligned with, at most.
 PEERS = 6
 #: Blocks inside one another that are told apart.
 DEEPEST = 120
+#: Characters of all peers together up to which they are broadcast; beyond, pages and peers are joined by a shuffle.
+BROADCAST = 16_000_000
 #: The share of a page's text that a copy of it has.
 COPY = 0.75
 #: Fixed values of HTML: elements without content, with raw text, of block kind; and what each new element closes.
@@ -273,6 +275,10 @@ def extract(pages: DataFrame, peers: int = PEERS) -> DataFrame:
     # one tree for each page, and as many as there are peers for each host
     trees = trees.groupBy("__host", "page_id").agg(F.min("tree").alias("tree")).groupBy("__host").agg(F.to_json(F.array_sort(F.collect_list("tree"))).alias("trees"))
 
+    trees = materialise(trees)
+    size_ = trees.agg(F.sum(F.length("trees") + F.length("__host"))).first()[0] or 0
+    trees = F.broadcast(trees) if size_ <= BROADCAST else trees.hint("merge")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
         for whole in batches:

@@ -264,6 +264,8 @@ def extract(pages: DataFrame, peers: int = PEERS) -> DataFrame:
     own = pages.select("page_id", "url", "html", host.alias("__host"))
     picks = own.where("page_id is not null and html is not null").groupBy("__host").agg(*[F.min(F.struct(F.xxhash64("page_id", F.lit(j)).alias("h"), "page_id")).alias(f"p{j}") for j in range(peers)])
     picks = picks.select("__host", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}.page_id") for j in range(peers)]))).alias("page_id"))
+    picks = materialise(picks)
+    picks = F.broadcast(picks) if picks.count() <= BROADCAST // 64 else picks.hint("merge")
     chosen = own.join(picks, ["__host", "page_id"]).select("__host", "page_id", "html")
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

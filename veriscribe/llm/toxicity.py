@@ -34,8 +34,10 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 12
 #: Bytes of a word's beginning, whose bucket stands in for that of a rare word.
 PREFIX = 4
 #: Labelled rows that the model is fitted on, at most; texts that must share a bucket before it gets a vector.
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEAST_TEXTS = 1500, 3000, 4
-EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
+SAMPLE_TOXIC, SAMPLE_CLEAN, LEAST_TEXTS = 3000, 6000, 4
+EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 2e-2
+#: Shares of words and of pooled features that a training step leaves out.
+DROP_WORDS, DROP_FEATURES = 0.1, 0.3
 FOLDS, SEED = 5, 20
 #: Words scored at once, and words with their buckets kept in a worker.
 AT_ONCE, CACHE = 1 << 18, 400_000
@@ -173,12 +175,14 @@ def train(texts: list[str | None], labels: np.ndarray) -> Classifier:
     weight = np.where(labels > 0, 0.5 / labels[~held].mean(), 0.5 / (1 - labels[~held].mean())).astype(np.float32)
     weight = np.sqrt(weight)
     step = 0
-    for epoch in range(EPOCHS if len(own) >= 1000 else 3 * EPOCHS):
+    epochs = EPOCHS if len(own) >= 1000 else 3 * EPOCHS
+    for epoch in range(epochs):
         rng.shuffle(own)
         for i in range(0, len(own), BATCH):
             docs = own[i : i + BATCH]
             at = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for d in docs])
             x = words[at]
+            x = np.where((rng.random(len(x)) < DROP_WORDS) & (x > 0), 1, x)
             cuts = np.r_[0, np.cumsum(lengths[docs])[:-1]]
             hidden, best = [], {}
             for w in WIDTHS:
@@ -190,11 +194,12 @@ def train(texts: list[str | None], labels: np.ndarray) -> Classifier:
                 best[w] = top
                 hidden.append(c[top, np.arange(FILTERS)] + p["b", w])
             z = np.concatenate(hidden, axis=1)
-            h = np.maximum(z, 0)
+            keep = (rng.random(z.shape) >= DROP_FEATURES).astype(np.float32) / (1 - DROP_FEATURES)
+            h = np.maximum(z, 0) * keep
             y = h @ p["o"][:-1] + p["o"][-1]
             g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[docs]) * weight[docs] / len(docs)
             grads = {"o": np.r_[h.T @ g, g.sum()].astype(np.float32), "e": np.zeros_like(p["e"])}
-            back = (np.outer(g, p["o"][:-1]) * (z > 0)).astype(np.float32)
+            back = (np.outer(g, p["o"][:-1]) * keep * (z > 0)).astype(np.float32)
             at_rows, steps = [], []
             for k, w in enumerate(WIDTHS):
                 b = back[:, k * FILTERS : (k + 1) * FILTERS]
@@ -211,12 +216,13 @@ def train(texts: list[str | None], labels: np.ndarray) -> Classifier:
             grads["e"][at_rows[order][first]] = np.add.reduceat(steps[order], first, axis=0)
             grads["e"][0] = 0
             step += 1
+            rate = RATE * (1 - 0.9 * epoch / epochs)
             for key, v in p.items():
                 m, s = moments[key]
-                d = grads[key] + DECAY * v
+                d = grads[key]
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
-                v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                v -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + DECAY * v)
     model.out = p["o"].astype(np.float32)
     for w in WIDTHS:
         model.bias[w] = p["b", w]

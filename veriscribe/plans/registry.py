@@ -329,12 +329,14 @@ def _sql_typo() -> str:
 
 _L = lambda t: f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '')"
 _COMMENT = "flatten(list_transform(string_split({0}, chr(10)), lambda x: list_filter([CASE WHEN starts_with(trim(x), '#') THEN trim(x) END, CASE WHEN contains(x, '#') AND trim(substr(x, strpos(x, '#') + 1)) <> '' THEN '#' || trim(substr(x, strpos(x, '#') + 1)) END], lambda y: y IS NOT NULL)))"
+_IDS = lambda t: f"list_filter(list_distinct(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+')), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]*'))"
+_STOP = "[" + ", ".join(f"'{x}'" for x in D.COMMON_NAMES) + "]"
 _DETECT = {
     "Visual_Typo": _sql_typo(),
     "Symbol_Loss": "SELECT code_id, CAST(" + " OR ".join(f"({_COUNT('r', s)} > 0 AND {_COUNT('h', s)} < 0.8 * {_COUNT('r', s)})" for s in D.SYMBOLS) + " AS INT) AS flag FROM p",
     "Indentation_Error": "SELECT code_id, CAST(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: abs((length(a[i]) - length(ltrim(a[i], ' ' || chr(9)))) - (length(b[i]) - length(ltrim(b[i], ' ' || chr(9))))) >= 2)) > 0.05 * least(len(a), len(b)) AS INT) AS flag FROM (SELECT code_id, string_split(r, chr(10)) AS a, string_split(h, chr(10)) AS b FROM p)",
     "Line_Skipped": f"SELECT code_id, CAST(len(a) > 0 AND (len(b) < 0.9 * len(a) OR len(list_filter(a, lambda x: length(x) > 10 AND NOT list_contains(b, x))) > 0.1 * len(a)) AS INT) AS flag FROM (SELECT code_id, {_L('r')} AS a, {_L('h')} AS b FROM p)",
-    "Variable_Hallucination": None,
+    "Variable_Hallucination": f"SELECT code_id, CAST(len(list_filter(b, lambda x: length(x) >= 3 AND NOT list_contains({_STOP}, x) AND NOT list_contains(a, x))) >= 3 AS INT) AS flag FROM (SELECT code_id, {_IDS('r')} AS a, {_IDS('h')} AS b FROM p)",
     "Code_Invention": f"SELECT code_id, CAST(len(b) > 0 AND len(list_filter(b, lambda x: length(x) > 15 AND NOT contains(r, left(x, 20)))) > 0.05 * len(b) AS INT) AS flag FROM (SELECT code_id, r, {_L('h')} AS b FROM p)",
     "Repetition": f"""SELECT code_id, CAST(coalesce(sum(CASE WHEN x = y AND length(s) > 5 THEN 1 ELSE 0 END), 0) >= 2 AND max(n) >= 3 OR max(n) >= 3 AND max(CASE WHEN length(s) > 10 THEN times ELSE 0 END) >= 3 AS INT) AS flag FROM (
  SELECT code_id, x, {_STRIP('x')} AS s, lag(x) OVER (PARTITION BY code_id ORDER BY i) AS y, count(*) OVER (PARTITION BY code_id, x) AS times, count(*) OVER (PARTITION BY code_id) AS n

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veriscribe.functions.text import let
+
 RATIOS = [1.0, 1.5, 2.0, 4.0, 6.0, 8.0, 16.0]
 COMPRESSION_RATIOS = [0.5, 1.0, 1.5, 2.0, 4.0, 8.0]
 RESOLUTIONS = [112 * i for i in range(1, 41)]
@@ -118,10 +120,17 @@ def score(target: Column, ratio: Column, tokens_ratio: Column, fill: Column, res
 def closest_resolution(target: Column, resolutions: list[int], tolerance: float = 1.4) -> Column:
     """The resolution with tokens nearest to the target; of several about as near, and like each other, the largest."""
     rows = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(image_tokens_of(r)).alias("t")) for r in resolutions])
-    far = lambda x: F.abs(x["t"] - target)
-    least = F.array_min(F.transform(rows, far))
-    near = F.filter(rows, lambda x: far(x) <= least * F.lit(1.2).cast("double"))
-    tokens = F.transform(near, lambda x: x["t"])
-    alike = (F.size(near) > 1) & (F.array_max(tokens) <= F.array_min(tokens) * F.lit(tolerance).cast("double"))
-    first = F.element_at(F.filter(rows, lambda x: far(x) == least), 1)["r"]
-    return F.when(alike, F.array_max(F.transform(near, lambda x: x["r"]))).otherwise(first)
+
+    def choose(found: Column) -> Column:
+        """Of resolutions with their distances, in ascending order."""
+        least = F.array_min(F.transform(found, lambda x: x["d"]))
+
+        def of(near: Column) -> Column:
+            tokens = F.transform(near, lambda x: x["t"])
+            alike = (F.size(near) > 1) & (F.array_max(tokens) <= F.array_min(tokens) * F.lit(tolerance).cast("double"))
+            first = F.element_at(F.filter(near, lambda x: x["d"] == F.array_min(F.transform(near, lambda y: y["d"]))), 1)["r"]
+            return F.when(alike, F.array_max(F.transform(near, lambda x: x["r"]))).otherwise(first)
+
+        return let(let(least, lambda d: F.filter(found, lambda x: x["d"] <= d * F.lit(1.2).cast("double"))), of)
+
+    return let(target, lambda want: let(F.transform(rows, lambda x: F.struct(F.abs(x["t"] - want).alias("d"), x["r"].alias("r"), x["t"].alias("t"))), choose))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscribe.functions import layout as L
+from veriscribe.functions.text import let
 
 ALL_RESOLUTIONS = L.SMALL_RESOLUTIONS + L.RESOLUTIONS
 
@@ -86,11 +87,6 @@ def exhaustive(texts: DataFrame, *keys: str, page_limit: int = 100) -> DataFrame
     return df.groupBy(*keys).agg(F.max_by(F.struct(*names), rank).alias("b")).select(*keys, "b.*")
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def compression_plan(tokens: Column, images: Column, ratios: list[float]) -> Column:
     """For each ratio, ascending, the resolution to which pages are resized, by the order of the ratios.
 

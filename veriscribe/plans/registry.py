@@ -377,7 +377,10 @@ _SIZES = "(SELECT unnest([14, 28, 56] || range(112, 4481, 112)) AS res)"
 
 
 def oracle_sql() -> dict[str, str]:
-    q = {name: f"WITH {_PAIRS} {sql}" for name, sql in ((f"q_detect_{n.lower()}", s) for n, s in _DETECT.items()) if sql}
+    q = {name: f"WITH {_PAIRS} {sql}" for name, sql in ((f"q_detect_{n.lower()}", s) for n, s in _DETECT.items())}
+    flags = " UNION ALL ".join(f"SELECT code_id, {i} AS i, '{n}' AS error, '{next(g for g, names in D.GROUPS.items() if n in names)}' AS error_group, flag FROM ({s})" for i, (n, s) in enumerate(_DETECT.items()))
+    q["q_detected_errors"] = f"WITH {_PAIRS}, e AS ({flags}) SELECT code_id, coalesce(string_agg(CASE WHEN flag = 1 THEN error END, ',' ORDER BY i), '') AS errors FROM e GROUP BY code_id"
+    q["q_error_groups"] = f"WITH {_PAIRS}, e AS ({flags}) SELECT ratio, error_group, error, CAST(sum(flag) AS BIGINT) AS n FROM e JOIN p USING (code_id) GROUP BY GROUPING SETS ((ratio, error_group, error), (ratio, error_group))"
     q["q_exact_match"] = f"WITH {_PAIRS} SELECT code_id, round(len(list_filter(range(1, len(a) + 1), lambda i: coalesce(a[i] = b[i], false))) / len(a), 6) AS exact_match_rate FROM (SELECT code_id, string_split(r, chr(10)) AS a, string_split(h, chr(10)) AS b FROM p)"
     q["q_token_bleu"] = f"WITH {_PAIRS}, {_GRAMS} SELECT code_id, round(bleu, 6) AS token_bleu FROM bleu"
     q["q_keyword_f1"] = f"WITH {_PAIRS}, {_GRAMS} SELECT code_id, round(f1, 6) AS keyword_f1 FROM f"

@@ -31,7 +31,7 @@ from veriscribe.llm.common import materialise, table
 LIMIT = 4096
 END_ID = 1
 #: Words kept with their ids in a worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
+CACHE_WORDS, CACHE_CHARS = 350_000, 40
 
 
 def default_tokenizer() -> str:

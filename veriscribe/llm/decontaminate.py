@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of the training documents.
 
-A shard is some tens of megabytes of whole documents in one task. Its words become symbols: one for each
+A shard is some megabytes of whole documents in one task. Its words become symbols: one for each
 word that a benchmark has, and a separator for runs of others. Only runs at least as long as the shortest
 window are indexed, as no other can hold one. The index is the Burrows-Wheeler transform of the runs in a
 wavelet matrix, with the suffix position of every few words and of each run's start. All windows of the
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from veriscribe.llm.common import table
 
 WINDOW = 10
-#: Words of the benchmark in a block, bytes of text and indexed words in a shard, words between sampled positions.
-BLOCK_WORDS, SHARD_BYTES, SHARD_WORDS, SAMPLE = 2_000_000, 32_000_000, 1_000_000, 8
+#: Words of the benchmark in a block, bytes of text in a shard, words between sampled positions.
+BLOCK_WORDS, SHARD_BYTES, SAMPLE = 2_000_000, 8_000_000, 8
 #: Bytes of words, with A-Z in lower case; all others become spaces.
 WORD_BYTES = bytes((x + 32 if 65 <= x <= 90 else x) if 48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 

@@ -40,7 +40,7 @@ EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 2e-2
 DROP_WORDS, DROP_FEATURES = 0.1, 0.3
 FOLDS, SEED = 5, 20
 #: Words scored at once, and words with their buckets kept in a worker.
-AT_ONCE, CACHE = 1 << 18, 400_000
+AT_ONCE, CACHE = 1 << 17, 120_000
 #: Function words by which a text's language is guessed (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for with was on are this by be from not have which",

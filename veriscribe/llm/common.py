@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,10 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again, which cuts its lineage."""
+    """df, written as Parquet in the shared folder and read again, which cuts its lineage.
+
+    What was shuffled on the way is of no more use. Spark removes it once the driver has collected its own
+    references, so that is asked for here rather than left to chance.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -291,10 +291,10 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
     drop(found)
     # of each context of an open anchor: how often it occurs, and the copy to compare
     copies = again.where("open").groupBy("own", "around").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "place")).alias("copy"))
-    copies = materialise(copies)
-    kinds = copies.groupBy("own").agg(F.count("*").alias("kinds"))
+    copied = materialise(copies)
+    kinds = copied.groupBy("own").agg(F.count("*").alias("kinds"))
     many = kinds.where(F.col("kinds") > most).select("own", F.lit(True).alias("many"))
-    copies = copies.join(many, "own", "left")
+    copies = copied.join(many, "own", "left")
     marked = again.where("open").join(copies, ["own", "around"])
     first = F.col("copy") == F.struct("id", "th", "place")
     marked = marked.select("id", "th", "place", "own", "around", F.when(F.col("times") == 1, F.when(F.coalesce("many", F.lit(False)), 2).otherwise(1)).otherwise(0).alias("wait"), (first).alias("copy"), F.coalesce("many", F.lit(False)).alias("many"))
@@ -328,6 +328,8 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     passed = materialise(keyed.join(each, ["id", "th"], "left").select("id", "text", "at").mapInArrow(first_pass, ddl))
+    drop(again)
+    drop(copied)
     contexts = passed.where("kind = 2").select("own", "around", "left", "context", "many")
     n = contexts.where("not many").count()
     dealt = contexts.where("not many").select("own", "around", "left", "context", F.pmod(F.xxhash64("own"), F.lit(max(1, -(-n // shard)))).alias("shard"))

@@ -43,9 +43,16 @@ def test_verdicts_limit_false_rejection(spark):
         rows.append((i, text, "en" if i % 9 else "xx", 0 if bad else 1))
     docs = spark.createDataFrame([r[:3] for r in rows] + [(None, None, None), (20_000, "short", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(None, 1), (4, None)], "doc_id long, quality int")
-    got = {r.doc_id: (r.base_failed, r.kept) for r in q.judged(docs, labels).collect()}
+    got = {r.doc_id: (r.base_failed, r.kept) for r in q.judged(docs, labels, risk=0.004).collect()}
     assert got[None] == got[20_000] == (True, False)
     large = [(got[d][1], y) for d, _, s, y in rows if s == "en"]
     assert all(k for k, y in large if y) and not any(k for k, y in large if not y)
     assert all(got[d][1] for d, _, s, _ in rows if s == "xx")  # too few labels to certify a rule
     assert q.judged(docs.limit(0), labels).count() == 0 and q.judged(docs, labels.limit(0)).where("kept").count() == 9000
+
+
+def test_bounds_add_up_to_the_risk_at_most():
+    counts = [("s", rule, 0, 1, 5000) for rule in range(len(q.RULES))] + [("s", rule, 9, 0, 500) for rule in range(len(q.RULES))]
+    level = q.ALPHA / sum(len(g) for *_, g in q.RULES)
+    chosen = q.certified(counts, risk=0.005)
+    assert len(chosen) == int(0.005 / q.upper_bound(0, 5000, level)) and q.certified(counts, risk=0.0001) == []

@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
 Statistics of whole texts are compared with cut-offs on fixed grids. For each stratum (the language column),
-rule and cut-off, the labelled holdout gives the good documents that the rule would reject; an exact
-(Clopper-Pearson) binomial bound on their share must not exceed RISK / rules, at a level that is ALPHA divided by the number of
-all strata, rules and cut-offs (Bonferroni). Of the cut-offs that hold, a rule takes the one that rejects most bad
-documents, and only if bad ones are rejected more often than the bound on good ones. So with probability
+rule and cut-off, the labelled holdout gives the good documents that the rule would reject, and an exact
+(Clopper-Pearson) binomial bound on their share, at a level that is ALPHA divided by the number of
+all strata, rules and cut-offs (Bonferroni). Cut-offs are chosen, one for a rule, so that the bounds of a stratum
+add up to RISK at most, and only where bad documents are rejected more often than the bound on good ones. So with probability
 1 - ALPHA at most RISK of the good documents of every certified stratum are rejected. Where labels are too few for any
 certificate, only the base rules decide.
 
@@ -25,7 +25,7 @@ from veriscribe.llm.common import materialise, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-RISK, ALPHA = 0.02, 0.05
+RISK, ALPHA = 0.03, 0.05
 #: Rules as (name, statistic, cut-offs): a document fails where the statistic is above the cut-off.
 RULES = [
     ("symbols", "n_symbols / greatest(n_words, 1)", [0.1, 0.2, 0.3, 0.5, 0.75, 1, 1.5, 2, 3]),
@@ -101,22 +101,30 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def certified(counts: list[tuple], risk: float = RISK, alpha: float = ALPHA) -> list[tuple[str, int, float]]:
-    """(stratum, rule, cut-off) to reject above, of (stratum, rule, cut-offs passed, good, rows)."""
+    """(stratum, rule, cut-off) to reject above, of (stratum, rule, cut-offs passed, good, rows).
+
+    All bounds of a stratum hold at once, so those of the chosen rules may add up to the risk. Rules are taken by
+    the bad documents that they reject for each part of the risk that they use.
+    """
     strata = sorted({c[0] for c in counts})
     level = alpha / max(1, len(strata) * sum(len(g) for *_, g in RULES))
     chosen = []
     for stratum in strata:
+        offers = []
         for rule, (_, _, grid) in enumerate(RULES):
             own = [c for c in counts if c[0] == stratum and c[1] == rule]
             good, bad = (sum(n for _, _, _, g, n in own if g == x) for x in (1, 0))
-            best = None
             for i, cut in enumerate(grid):
                 lost, caught = (sum(n for _, _, passed, g, n in own if g == x and passed > i) for x in (1, 0))
                 bound = upper_bound(lost, good, level)
-                if bound <= risk / len(RULES) and caught > bound * bad and caught > (best[0] if best else 0):
-                    best = (caught, cut)
-            if best:
-                chosen.append((stratum, rule, best[1]))
+                if caught > bound * bad:
+                    offers.append((caught / bound, rule, cut, bound))
+        left, done = risk, set()
+        for _, rule, cut, bound in sorted(offers, key=lambda x: (-x[0], x[1], x[2])):
+            if rule not in done and bound <= left:
+                left -= bound
+                done.add(rule)
+                chosen.append((stratum, rule, cut))
     return chosen
 
 
@@ -127,7 +135,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float = RISK, alpha: f
     rows = stats.join(known, "doc_id").where(~base_failed())
     rows = rows.select("stratum", "good", F.posexplode(F.array(*passed)).alias("rule", "passed"))
     counts = rows.groupBy("stratum", "rule", "passed", "good").agg(F.count("*").alias("n"))
-    fewest = math.log(sum(len(g) for *_, g in RULES) / alpha) * len(RULES) / risk  # good rows below which no bound can hold
+    fewest = math.log(sum(len(g) for *_, g in RULES) / alpha) / risk  # good rows below which no bound can hold
     enough = counts.where("rule = 0 and good = 1").groupBy("stratum").agg(F.sum("n").alias("all")).where(F.col("all") >= fewest).select("stratum")
     return certified([tuple(r) for r in counts.join(enough, "stratum").collect()], risk, alpha)
 

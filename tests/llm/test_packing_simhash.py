@@ -155,5 +155,5 @@ def test_links_connect_clusters_in_any_chunks(spark):
 
 
 def test_connected_components_of_a_chain(spark):
-    edges = spark.range(0, 300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = spark.range(0, 70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.root for r in connected_components(edges).collect()} == {0}

@@ -63,7 +63,7 @@ def test_anchors_of_equal_strings_agree(monkeypatch):
         monkeypatch.setattr(sd, "BLOCK", block)
         common = noise(200)
         texts = [noise(rng.randint(0, 2500)) + common + noise(rng.randint(0, 300)) for _ in range(20)]
-        number, place, own = sd.anchors_of(texts)
+        number, place, own, *_ = sd.anchors_of(texts)
         at = [{(int(p) - t.index(common), int(h)) for p, h in zip(place[number == k], own[number == k]) if 0 <= p - t.index(common) <= 136} for k, t in enumerate(texts)]
         assert set.intersection(*at)
 

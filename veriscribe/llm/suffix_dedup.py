@@ -2,7 +2,7 @@
 
 Where two equal strings of LENGTH bytes are, the smallest hash of the GRAM-byte strings inside them, the
 leftmost of equals, is at the same place in both. So every text is reduced to these anchors, about one in seventy bytes,
-each with the hash of its context: all bytes that a string of LENGTH around the anchor can reach. Anchors are
+each with the hash of its context: the bytes of all strings of LENGTH whose anchor it is. Anchors are
 counted over the corpus by their hash, with partial sums before the shuffle, and those that occur once drop out.
 An anchor whose whole context occurs again is repeated as far as its context goes. What is left are anchors
 that occur in different contexts, of which one copy each is compared.
@@ -62,8 +62,8 @@ def scattered(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, position, hash) of every anchor, in order."""
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, position, hash, first and last string that it stands for) of every anchor, in order."""
     pieces: list[list[tuple[int, int, bytes]]] = [[]]
     size = 0
     for k, text in enumerate(texts):
@@ -94,22 +94,22 @@ def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.cumsum(lengths) - lengths
         valid = np.concatenate([np.arange(s, s + n - LENGTH + 1) for s, n in zip(starts, lengths)])
         at = (least[valid] & low).astype(np.int64)
-        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        first, last = valid[begin], valid[np.r_[begin[1:], len(at)] - 1] if len(at) else valid
+        at = at[begin]
         which = np.searchsorted(starts, at, "right") - 1
         number = np.array([k for k, *_ in block])[which]
-        place = at - starts[which] + np.array([s for _, s, _ in block])[which]
-        out.append((number, place, own[at]))
+        shift = np.array([s for _, s, _ in block])[which] - starts[which]
+        out.append((number, at + shift, own[at], first + shift, last + shift))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    number, place, own = (np.concatenate(x) for x in zip(*out))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+    number, place, own, first, last = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((place, number))
-    number, place, own = number[order], place[order], own[order]
-    first = np.r_[True, (np.diff(number) != 0) | (np.diff(place) != 0)][: len(number)]  # long texts' parts overlap
-    return number[first], place[first], own[first]
-
-
-def context(place: int, size: int) -> tuple[int, int]:
-    return max(0, place - REACH), min(size, place + GRAM + REACH)
+    number, place, own, first, last = (x[order] for x in (number, place, own, first, last))
+    new = np.flatnonzero(np.r_[True, (np.diff(number) != 0) | (np.diff(place) != 0)][: len(number)])  # long texts' parts overlap
+    if not len(new):
+        return number, place, own, first, last
+    return number[new], place[new], own[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -117,7 +117,7 @@ def as_bytes(text: str | None) -> bytes:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(id, th, place, own, around) of every anchor: the text's id and hash, the anchor's place and hash, its context's."""
+    """(id, th, place, own, around, left, right) of every anchor: the text's id and hash, the anchor's place and hash, its context's hash and reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,15 +127,15 @@ def anchors(docs: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
                 texts = [as_bytes(x) for x in batch.column(2).to_pylist()]
-                number, place, own = anchors_of(texts)
-                size = np.array([len(x) for x in texts], np.int64)[number]
-                left, right = np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, size)
+                number, place, own, left, right = anchors_of(texts)
+                right = right + LENGTH
                 found = b"".join([digest(texts[k][a:b]) for k, a, b in zip(number.tolist(), left.tolist(), right.tolist())])
                 around = np.frombuffer(found, ">u8").astype(np.uint64) + (place - left).astype(np.uint64)
                 ids, hashes = batch.column(0).take(pa.array(number)), batch.column(1).take(pa.array(number))
-                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(place), pa.array(own.view(np.int64)), pa.array(around.view(np.int64))], ["id", "th", "place", "own", "around"])
+                reach = [pa.array((place - left).astype(np.int32)), pa.array((right - place).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(place), pa.array(own.view(np.int64)), pa.array(around.view(np.int64)), *reach], ["id", "th", "place", "own", "around", "left", "right"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, place long, own long, around long")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, place long, own long, around long, left int, right int")
 
 
 class Sorter:
@@ -173,7 +173,31 @@ class Sorter:
         return np.where(equal, ties, self.data[a + at] < self.data[b + at])
 
     def sorted(self, suffixes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """The order of suffixes inside each of the groups, which follow one another."""
+        """The order of suffixes inside each of the groups, which follow one another.
+
+        Their first eight bytes part most of them; of those that share them, runs of which all agree with the first
+        over LENGTH bytes are in order, and the others are merge sorted.
+        """
+        if not len(suffixes):
+            return np.arange(0)
+        head = np.zeros(len(suffixes), np.uint64)
+        for k in range(8):
+            head = head << np.uint64(8) | self.data[suffixes + k].astype(np.uint64)
+        order = np.lexsort((head, groups))
+        own, head, groups = suffixes[order], head[order], groups[order]
+        first = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (head[1:] != head[:-1])])
+        sizes = np.diff(np.r_[first, len(own)])
+        run = np.repeat(np.arange(len(first)), sizes)
+        shared = np.flatnonzero(sizes[run] > 1)
+        differ = np.zeros(len(first), bool)
+        differ[run[shared[~self.agree(own[shared], own[first[run[shared]]], LENGTH)]]] = True
+        rest = np.flatnonzero(differ[run])
+        if len(rest):
+            order[rest] = order[rest][self.merge_sorted(own[rest], run[rest])]
+        return order
+
+    def merge_sorted(self, suffixes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """The order of suffixes inside each of the groups, which follow one another, by merging runs of doubling length."""
         n = len(suffixes)
         order, first = np.arange(n), np.flatnonzero(np.diff(groups, prepend=-1))
         sizes = np.diff(np.r_[first, n])
@@ -205,13 +229,13 @@ class Sorter:
         return order
 
 
-def repeated(contexts: list[tuple[int, int, int, bytes]]) -> list[list[int]]:
-    """For contexts (anchor hash, times, bytes left of the anchor, bytes): the places left of each anchor where a repeated string begins."""
+def repeated(contexts: list[tuple[int, int, bytes]]) -> list[list[int]]:
+    """For contexts (anchor hash, bytes left of the anchor, bytes): the places left of each anchor where a repeated string begins."""
     contexts_at = sorted(range(len(contexts)), key=lambda i: contexts[i][0])
-    data = np.frombuffer(b"".join(contexts[i][3] for i in contexts_at), np.uint8)
-    sizes = np.array([len(contexts[i][3]) for i in contexts_at])
+    data = np.frombuffer(b"".join(contexts[i][2] for i in contexts_at), np.uint8)
+    sizes = np.array([len(contexts[i][2]) for i in contexts_at])
     offset = np.cumsum(sizes) - sizes
-    left = np.array([contexts[i][2] for i in contexts_at])
+    left = np.array([contexts[i][1] for i in contexts_at])
     # a string begins at most `left` before its anchor, and ends inside the context
     least, most = np.maximum(0, LENGTH - (sizes - left)), np.minimum(left, REACH)
     counts = np.maximum(most - least + 1, 0)
@@ -226,7 +250,7 @@ def repeated(contexts: list[tuple[int, int, int, bytes]]) -> list[list[int]]:
         sorter = Sorter(data, base)
         order = sorter.sorted(suffixes, groups)
         a, b = suffixes[order[:-1]], suffixes[order[1:]]
-        pairs = np.flatnonzero((groups[order[1:]] == groups[order[:-1]]) & (sorter.extension(a, b) >= LENGTH)) if len(order) else np.empty(0, np.int64)
+        pairs = np.flatnonzero((groups[order[1:]] == groups[order[:-1]]) & sorter.agree(a, b, LENGTH)) if len(order) else np.empty(0, np.int64)
         step = np.arange(LENGTH)
         if all((data[a[p][:, None] + step] == data[b[p][:, None] + step]).all() for p in np.array_split(pairs, len(pairs) // 20_000 + 1)):
             break
@@ -297,9 +321,9 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
     copies = copied.join(many, "own", "left")
     marked = again.where("open").join(copies, ["own", "around"])
     first = F.col("copy") == F.struct("id", "th", "place")
-    marked = marked.select("id", "th", "place", "own", "around", F.when(F.col("times") == 1, F.when(F.coalesce("many", F.lit(False)), 2).otherwise(1)).otherwise(0).alias("wait"), (first).alias("copy"), F.coalesce("many", F.lit(False)).alias("many"))
-    closed = again.where("not open").select("id", "th", "place", "own", "around", F.lit(0).alias("wait"), F.lit(False).alias("copy"), F.lit(False).alias("many"))
-    each = closed.unionByName(marked).groupBy("id", "th").agg(F.collect_list(F.struct("place", "own", "around", "wait", "copy", "many")).alias("at"))  # of one text
+    marked = marked.select("id", "th", "place", "own", "around", "left", "right", F.when(F.col("times") == 1, F.when(F.coalesce("many", F.lit(False)), 2).otherwise(1)).otherwise(0).alias("wait"), (first).alias("copy"), F.coalesce("many", F.lit(False)).alias("many"))
+    closed = again.where("not open").select("id", "th", "place", "own", "around", "left", "right", F.lit(0).alias("wait"), F.lit(False).alias("copy"), F.lit(False).alias("many"))
+    each = closed.unionByName(marked).groupBy("id", "th").agg(F.collect_list(F.struct("place", "own", "around", "left", "right", "wait", "copy", "many")).alias("at"))  # of one text
 
     extra = [("kept", pa.binary())] if with_kept else []
     schema = pa.schema([*RESULT, *extra, ("text", pa.binary()), ("waiting", OPEN), ("own", pa.int64()), ("around", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("many", pa.bool_()), ("kind", pa.int32())])
@@ -314,7 +338,7 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
                     text, doc = as_bytes(row["text"]), None if row["id"] == null_id else row["id"]
                     spans, waiting = [], []
                     for x in row["at"] or ():
-                        a, b = context(x["place"], len(text))
+                        a, b = x["place"] - x["left"], x["place"] + x["right"]
                         if x["wait"]:
                             waiting.append({k: x[k] for k in ("place", "own", "around")})
                         else:
@@ -336,7 +360,7 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
 
     def compare(group: pa.Table) -> pa.Table:
         own, around = group["own"].to_pylist(), group["around"].to_pylist()
-        rows = list(zip(own, [1] * len(own), group["left"].to_pylist(), group["context"].to_pylist()))
+        rows = list(zip(own, group["left"].to_pylist(), group["context"].to_pylist()))
         found = [(o, r, a, b) for o, r, backs in zip(own, around, repeated(rows)) for a, b in runs(backs)]
         columns = zip(*found) if found else ([], [], [], [])
         return pa.table([pa.array(x, pa.int64()) for x in columns], ["own", "around", "start", "end"])

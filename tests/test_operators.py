@@ -154,6 +154,10 @@ def test_pages_and_images(spark, tmp_path):
     sharp, blurred = (rendering.pixels(bytes(r.content)) for r in images.where("path like 'a/%page_001%' and ratio in (1.0, 4.0)").orderBy("ratio").collect())
     assert np.abs(np.diff(sharp.astype(int), axis=1)).mean() > 2 * np.abs(np.diff(blurred.astype(int), axis=1)).mean()
     assert (rendering.pixels(rendering.png(sharp)) == sharp).all()
+    some = images.where("ratio = 1.0").select("path", "content")
+    assert {r.tokens for r in rendering.processor_tokens(some).collect()} == {270}
+    assert {r.tokens for r in rendering.processor_tokens(some, lambda: lambda content: {"grid": (4, 5)}).collect()} == {20}
+    assert L.modes([4, 1.5]) == ["text_only", "image", "image_ratio1.5", "image_ratio4"]
     page = np.full((50, 60, 3), 255, np.uint8)
     page[20:25, 30:40] = 0
     assert rendering.cropped(page, 10).shape == (15, 20, 3) and rendering.cropped(page[:10]).shape == (10, 60, 3)

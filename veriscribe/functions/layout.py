@@ -19,6 +19,11 @@ SMALLEST_FONT, LARGEST_FONT = 4, 150
 CHARS_PER_TOKEN = 3.5
 
 
+def modes(ratios: list[float] | None = None) -> list[str]:
+    """The names of the ways in which a text can be given: as text, as an image, as an image at each ratio."""
+    return ["text_only", "image"] + [f"image_ratio{r:g}" for r in sorted(ratios or COMPRESSION_RATIOS)]
+
+
 def image_tokens(width: Column, height: Column) -> Column:
     return F.floor((width / 16 * (height / 16)) / 4).cast("int")
 

@@ -30,8 +30,8 @@ from veriscribe.llm.common import materialise, table
 
 LIMIT = 4096
 END_ID = 1
-#: Words kept with their ids in a worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 350_000, 40
+#: Words kept with their ids in a worker, twice so many at most, and the longest word that is kept.
+CACHE_WORDS, CACHE_CHARS = 250_000, 40
 
 
 def default_tokenizer() -> str:
@@ -41,16 +41,19 @@ def default_tokenizer() -> str:
 
 
 class Kept(dict):
-    """Encodings of words, made when first asked for; all go when they are too many."""
+    """Encodings of words, made when first asked for. When they are too many, those not asked for again go at the next time."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.make(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found

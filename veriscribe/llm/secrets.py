@@ -24,10 +24,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: The weak candidates, and the parts that make them worth reporting.
 WEAK_HEX = r"(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
-WEAK_MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9A-Z+/_-]{0,60}[a-z])(?=[0-9a-z+/_-]{0,60}[A-Z])[A-Za-z0-9+/_-]{20,80}={0,2}(?![A-Za-z0-9+/_=-])"
-IDENTIFIER = r"""(?i)\b(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|account(?:[_-]?(?:id|name))?|tenant[_-]?id|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}"""
-ENDPOINT = r"""(?i)\b(?:[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|(?:endpoint|host|server|region|base[_-]?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,})"""
-ANNOUNCED = r"(?i)\b(?:secret|credential|private[_-]?key|passphrase|auth(?:orization)?|bearer|signature)s?\b"
+#: Whole runs, also straight after = and : and of any length; a run before =value is a name. Which classes they mix is asked of the value.
+WEAK_MIXED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")
+IDENTIFIER = r"""(?i)(?<![a-z0-9])(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|account(?:[_-]?(?:id|name))?|tenant[_-]?id|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._@-]{3,}"""
+ENDPOINT = r"""(?i)(?<![a-z0-9])(?:[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|(?:endpoint(?:[_-]?suffix)?|host|server|region|base[_-]?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,})"""
+ANNOUNCED = r"(?i)(?<![a-z0-9])(?:secret|credential|private[_-]?key|passphrase|auth(?:orization)?|bearer|signature)s?(?![a-z0-9])"
 #: Characters between a candidate and its parts, at most.
 SCOPE = 200
 
@@ -46,6 +48,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     parts = (F.size("identifier") > 0) | (F.size("endpoint") > 0) | (F.size("access") > 0)
     df = with_spans(df, "weak_hex", WEAK_HEX, parts)
     df = with_spans(df, "weak_mixed", WEAK_MIXED, parts)
+    df = df.withColumn("weak_mixed", F.filter("weak_mixed", lambda s: F.rlike(s["value"], F.lit(MIXED[0])) & F.rlike(s["value"], F.lit(MIXED[1])) & F.rlike(s["value"], F.lit(MIXED[2]))))
     df = with_spans(df, "announced", ANNOUNCED, parts & (F.size("weak_hex") + F.size("weak_mixed") > 0))
     role = lambda name, kind: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("role")))
     weak = F.array_distinct(F.concat(role("weak_hex", "weak"), role("weak_mixed", "weak")))

@@ -61,3 +61,20 @@ def test_values_straight_after_their_names_and_long_ones(spark):
         f"client_id: acme-dev host = db.example.org MixedCaseSettingName01=x",  # a name
     ]
     assert linked_values(spark, texts) == {0: [secret], 1: [key], 2: [late], 3: [], 4: []}
+
+
+def test_links_equal_all_pairs_however_long_the_parts(spark):
+    rng, scope, rows = random.Random(2), 10, []
+    for uid in range(200):
+        span = lambda most: (lambda a: (a, a + rng.randint(1, most)))(rng.randint(0, 300))
+        rows.append((uid, [span(25) for _ in range(rng.randint(1, 4))], [(*span(rng.choice([5, 150])), rng.choice(["identifier", "endpoint", "announced"])) for _ in range(rng.randint(0, 5))]))
+    df = spark.createDataFrame(rows, "uid long, weak array<struct<start:int,end:int>>, parts array<struct<start:int,end:int,role:string>>")
+    near = lambda w, parts: {r for a, b, r in parts if a <= w[1] + scope and b >= w[0] - scope}
+    want = {(uid, *w) for uid, weak, parts in rows for w in weak if len(near(w, parts)) >= 2}
+    assert {tuple(r) for r in secrets.linked(df, scope).collect()} == want
+
+
+def test_a_candidate_in_the_middle_of_a_long_address(spark):
+    secret = "q7" + "Zx9kQ2rT" * 3
+    text = f"https://files.example.org/{'part,' * 100}{secret},user=someone,{'part,' * 100}end"
+    assert linked_values(spark, [text]) == {0: [secret]}

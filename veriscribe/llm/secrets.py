@@ -4,8 +4,9 @@ Strong findings stand by themselves: assignments to a secret's name, access keys
 Weak candidates (shorter hexadecimal, and mixed tokens that could be anything) are reported, as kind linked,
 only where complementary parts are near: an access identifier and an endpoint, or either of them with a name
 that announces a secret. The join is on intervals: parts are summed up for each scope cell of SCOPE
-characters (first start, last end), and a weak candidate meets its own cell and the two beside it, where the
-distance is verified. So a candidate meets a bounded number of rows, however many parts a text holds.
+characters that they touch (first start, last end), and a weak candidate meets the cells that it touches and
+those beside them, where the distance is verified. So a candidate meets a number of rows that its own length
+bounds, however many parts a text holds.
 
 All of it is DataFrame expressions. Null texts count as empty; repeated rows are scanned one by one.
 """
@@ -60,10 +61,10 @@ def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(uid, start, end) of weak candidates with complementary parts near."""
     weak = scans.select("uid", F.explode("weak").alias("w")).select("uid", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     part = scans.select("uid", F.explode("parts").alias("p")).select("uid", "p.*")
-    # a part is in the cells of both its ends, so that one longer than a cell is found from either side
-    sides = F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))).alias("cell")
-    cells = part.select("uid", "start", "end", "role", sides).groupBy("uid", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    near = F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("end") - 1) / scope) + 1)).alias("cell")
+    # a part is in every cell from its start to its end, so that one longer than a cell is met from its middle too
+    through = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))).alias("cell")
+    cells = part.select("uid", "start", "end", "role", through).groupBy("uid", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    near = F.explode(F.sequence(F.floor((F.col("start") - 1) / scope) - 1, F.floor(F.col("end") / scope) + 1)).alias("cell")
     meet = weak.select("uid", "start", "end", near).join(cells, ["uid", "cell"])
     meet = meet.where((F.col("first") <= F.col("end") + scope) & (F.col("last") >= F.col("start") - scope))
     role = lambda x: F.max((F.col("role") == x).cast("int"))

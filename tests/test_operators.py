@@ -140,6 +140,42 @@ def test_largest_font_fills_the_pages(spark):
         assert r.f == 150 or pages(r.f + 1) > 2
 
 
+def plain_pages(tokens, resolution, font):
+    room = resolution - 2 * (resolution * 0.01)
+    across, down, chars = max(1, int(room / (font * 0.6))), max(1, int(room / font)), tokens * 3.5
+    return max(1, math.ceil((chars * 1.3 + chars / 50 * (across * 0.3)) / (across * down)))
+
+
+def plain_search(tokens, ratio, used):
+    strict, relaxed, target = [], [], tokens / ratio
+    for r in [112 * i for i in (20, 16, 12, 8, 4, 2, 1)]:
+        each, least = L.image_tokens_of(r), plain_pages(tokens, r, 4)
+        ok = (lambda n: n * each <= target * 1.25) if least * each <= target * 1.25 else lambda n: n <= least
+        font = max(f for f in range(4, 151) if ok(plain_pages(tokens, r, f)))
+        n = plain_pages(tokens, r, font)
+        (strict if least * each <= target * 1.25 else relaxed).append((r, n, font, n * each))
+    new = lambda rows: [x for x in rows if x[:2] not in used]
+    if strict:
+        return max(new(strict) or strict, key=lambda x: x[0] * 1000 + x[2])
+    order = lambda x: (x[3], -x[2], -x[0])
+    best = min(relaxed, key=order)
+    other = min(new(relaxed), key=order, default=best)
+    return other if other[3] <= best[3] * 1.1 else best
+
+
+def test_exhaustive_search_equals_a_plain_one(spark):
+    some = [[], [(2240, 1)], [(112, 1)], [(112, 1), (224, 1), (448, 1)], [(896, 1), (112, 3), (112, 5), (112, 12)]]
+    some.append([(112 * i, n) for i in (1, 2, 4, 8, 12, 16, 20) for n in range(1, 200)])
+    rows = [(i, t, r, u) for i, (t, r, u) in enumerate((t, r, u) for t in (0, 1, 7, 13, 40, 99, 157, 400, 1555, 6000, 90_000, 2_000_000) for r in (0.5, 1.0, 4.0, 40.0) for u in some)]
+    df = spark.createDataFrame(rows, "id int, text_tokens int, compression_ratio double, used array<struct<resolution:int,pages:int>>")
+    got = {r.id: tuple(r)[1:] for r in layout_search.exhaustive(df, "id").collect()}
+    plain = {r.id: tuple(r)[1:] for r in layout_search.exhaustive(df.drop("used"), "id").collect()}
+    for i, t, r, used in rows:
+        assert got[i] == plain_search(t, r, used), (t, r, used)
+        assert plain[i] == plain_search(t, r, []), (t, r)
+    assert {x[0] for x in plain.values()} >= {112, 2240} and {x[2] for x in plain.values()} & set(range(61, 151))
+
+
 def test_pages_and_images(spark, tmp_path):
     docs = spark.createDataFrame([("a", "word " * 600 + "\n\nend"), ("b", ""), ("c", None)], "code_id string, text string")
     pages = rendering.paginate(docs, 256, 12)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from veriscribe.functions import layout as L
 from veriscribe.functions.text import let
 
 ALL_RESOLUTIONS = L.SMALL_RESOLUTIONS + L.RESOLUTIONS
+#: The resolutions of the plain search.
+KEY_RESOLUTIONS = [112 * i for i in (1, 2, 4, 8, 12, 16, 20)]
 
 
 def candidates(texts: DataFrame, page_limit: int = 100, line_height: float = 1.0) -> DataFrame:
@@ -58,33 +62,45 @@ def pages_needed(lengths: Column, resolution: Column, size: Column, line_height:
     return F.greatest(F.lit(1), F.ceil(rows / down)).cast("int")
 
 
-def largest_font(lengths: Column, resolution: Column, pages: Column, line_height: float = 1.0) -> Column:
-    """The largest font size with which lines fit the pages, by bisection, as pages grow with the size; the smallest if none does."""
+def largest(fits: Callable[[Column], Column]) -> Column:
+    """The largest font size that fits, by bisection, where all smaller ones fit too; the smallest if none does."""
     start = F.struct(F.lit(L.SMALLEST_FONT).alias("low"), F.lit(L.LARGEST_FONT).alias("high"))
 
     def step(x: Column, _: Column) -> Column:
         mid = F.floor((x["low"] + x["high"] + 1) / 2).cast("int")
-        fits = pages_needed(lengths, resolution, mid, line_height) <= pages
-        return F.struct(F.when(fits, mid).otherwise(x["low"]).alias("low"), F.when(fits, x["high"]).otherwise(F.greatest(mid - 1, x["low"])).alias("high"))
+        ok = fits(mid)
+        return F.struct(F.when(ok, mid).otherwise(x["low"]).alias("low"), F.when(ok, x["high"]).otherwise(F.greatest(mid - 1, x["low"])).alias("high"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda x: x["low"])
 
 
-def exhaustive(texts: DataFrame, *keys: str, page_limit: int = 100) -> DataFrame:
-    """The plain search over seven resolutions and all font sizes: strict candidates stay within a quarter over the target.
+def largest_font(lengths: Column, resolution: Column, pages: Column, line_height: float = 1.0) -> Column:
+    """The largest font size with which lines fit the pages, as pages grow with the size; the smallest if none does."""
+    return largest(lambda size: pages_needed(lengths, resolution, size, line_height) <= pages)
+
+
+def exhaustive(texts: DataFrame, *keys: str) -> DataFrame:
+    """The plain search over seven resolutions and all font sizes of texts (key columns, text_tokens, compression_ratio[, used]).
 
-    Of them the largest resolution, then font; without any, the fewest tokens, then the largest font and resolution. A new one
-    replaces a used one if its tokens are within a tenth.
+    Each resolution has one candidate. It is strict if the smallest font stays within a quarter over the target, and has the
+    largest font that does; else the largest font on as few pages as the smallest font needs. Of strict ones the largest
+    resolution, new ones before used ones; without any, the fewest tokens, then the largest font and resolution, which a new
+    one replaces if its tokens are within a tenth.
     """
-    sizes = [448, 672, 896, 1120, 1344, 1792, 2240]
-    target = F.col("text_tokens") / F.col("compression_ratio")
-    df = texts.withColumn("target", target).withColumn("resolution", F.explode(F.array(*map(F.lit, sizes)))).withColumn("font_size", F.explode(F.sequence(F.lit(L.SMALLEST_FONT), F.lit(60), F.lit(2))))
-    df = df.withColumn("pages", L.page_count(F.col("text_tokens"), F.col("resolution"), F.col("font_size"))).where(F.col("pages") <= page_limit)
-    df = df.withColumn("tokens", F.col("pages") * L.image_tokens(F.col("resolution"), F.col("resolution")))
-    strict = F.col("tokens") <= 1.25 * F.col("target")
-    rank = F.struct(strict.alias("strict"), F.when(strict, F.col("resolution") * 1000 + F.col("font_size")).otherwise(-F.col("tokens")).alias("value"), F.col("font_size").alias("f"), F.col("resolution").alias("r"))
-    names = ["resolution", "pages", "font_size", "tokens"]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*names), rank).alias("b")).select(*keys, "b.*")
+    target, size = F.col("text_tokens") / F.col("compression_ratio"), F.col("resolution")
+    per, pages = L.image_tokens(size, size), lambda font: L.page_count(F.col("text_tokens"), size, font)
+    df = texts.withColumn("resolution", F.explode(F.array(*map(F.lit, KEY_RESOLUTIONS)))).withColumn("least", pages(F.lit(L.SMALLEST_FONT)))
+    df = df.withColumn("strict", F.coalesce(F.col("least") * per <= 1.25 * target, F.lit(False)))
+    df = df.withColumn("font_size", largest(lambda font: F.when(F.col("strict"), pages(font) * per <= 1.25 * target).otherwise(pages(font) <= F.col("least"))))
+    df = df.withColumn("pages", pages(F.col("font_size"))).withColumn("tokens", F.col("pages") * per)
+    new = ~F.exists("used", lambda u: (u["resolution"] == F.col("resolution")) & (u["pages"] == F.col("pages"))) if "used" in texts.columns else F.lit(True)
+    df = df.withColumn("is_new", F.coalesce(new, F.lit(True)))
+    value = F.when(F.col("strict"), F.col("resolution") * 1000 + F.col("font_size")).otherwise(-F.col("tokens"))
+    rank = F.struct(F.col("strict"), (F.col("strict") & F.col("is_new")).alias("n"), value.alias("value"), F.col("font_size").alias("f"), F.col("resolution").alias("r"))
+    layout = F.struct("resolution", "pages", "font_size", "tokens", "strict")
+    found = df.groupBy(*keys).agg(F.max_by(layout, rank).alias("b"), F.max_by(layout, F.when(F.col("is_new"), rank)).alias("n"))
+    close = ~F.col("b.strict") & F.coalesce(F.col("n.tokens") <= F.col("b.tokens") * F.lit(1.1).cast("double"), F.lit(False))
+    return found.select(*keys, F.when(close, F.col("n")).otherwise(F.col("b")).alias("b")).select(*keys, "b.resolution", "b.pages", "b.font_size", "b.tokens")
 
 
 def compression_plan(tokens: Column, images: Column, ratios: list[float]) -> Column:

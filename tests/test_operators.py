@@ -202,6 +202,30 @@ def test_pages_and_images(spark, tmp_path):
     assert "".join(t.text for t in tokens) == "def f(): return 'x'  # c" and {t.text: t.color for t in tokens}["def"] == "#0000FF"
 
 
+def test_pages_are_drawn_in_the_colours_of_their_tokens(spark):
+    text = "# note — one\r\ndef f():\n\treturn 'long string' * 12  # end…\rx"
+    docs = spark.createDataFrame([("a", text), ("b", "\ufeffdef f"), ("c", None)], "code_id string, text string")
+    pages = rendering.paginate(docs, 256, 12)
+    rows = {r.code_id: (r.page_rows, r.page_colours) for r in pages.collect()}
+    assert all([len(x) for x in a] == [len(x) for x in b] for a, b in rows.values())
+    ink = lambda c, word: {k for r, p in zip(*rows[c]) for k in ([rendering.PALETTE[ord(x) - 97] for x in p[r.index(word) :][: len(word)]] if word in r else [])}
+    assert ink("a", "# note") == ink("a", "one") == {"#008000"} and ink("a", "def") == ink("a", "return") == ink("b", "def") == {"#0000FF"}
+    assert ink("a", "'long") == {"#A31515"} and ink("a", "12") == {"#098658"}
+    image = rendering.pixels(bytes(rendering.render(pages.where("code_id = 'a'"), 256, 12).first().content))
+    assert {tuple(x) for x in image.reshape(-1, 3).tolist()} >= {(0, 0x80, 0), (0, 0, 0xFF), (0xA3, 0x15, 0x15), (9, 0x86, 0x58), (0, 0, 0)}
+
+
+def test_rendering_queries_read_whole_documents(spark, tmp_path):
+    from veriscribe.plans import registry
+
+    texts = ["x = 1\n" * 60, "def g(): pass", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = registry.q_highlight(spark, str(tmp_path)).orderBy("pos").collect()
+    assert ["".join(t.text for t in tokens if t.doc_id == i) for i in (0, 1)] == texts[:2]
+    found = registry.q_degraded_pages(spark, str(tmp_path)).collect()
+    assert {(r.ratio, r.path.split("_ratio")[0], r.width) for r in found} == {(x, f"{p}.png"[:-4], 1024) for x in L.RATIOS for p in ("0/1024x1024_hl_nl/page_001", "0/1024x1024_hl_nl/page_002", "1/1024x1024_hl_nl/page_001", "2/1024x1024_hl_nl/page_001")}
+
+
 def test_recognition_retries_and_reports(spark):
     calls = []
 

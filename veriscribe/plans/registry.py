@@ -262,15 +262,14 @@ def q_paginate(spark, sf_dir):
 
 
 def q_highlight(spark, sf_dir):
-    df = _table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", rendering.highlight("python")("text").alias("t"))
-    return df.select("item_id", F.posexplode("t").alias("pos", "token")).select("item_id", "pos", "token.text", "token.color")
+    df = _docs(spark, sf_dir).where("text is not null").select("doc_id", rendering.highlight("python")("text").alias("t"))
+    return df.select("doc_id", F.posexplode("t").alias("pos", "token")).select("doc_id", "pos", "token.text", "token.color")
 
 
 def q_degraded_pages(spark, sf_dir):
-    """Pages of benchmark items as images, at three ratios: how much ink is left dark."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("code_id"), "text")
-    images = rendering.render(rendering.paginate(items, 256, 12), 256, 12)
-    found = rendering.degrade(layout_search.fan_out(images, [1.0, 2.0, 4.0]))
+    """Pages of documents as highlighted images, at all ratios: their sizes."""
+    items = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("code_id"), "text")
+    found = rendering.degrade(layout_search.fan_out(rendering.render(rendering.paginate(items))))
     return found.select("path", "ratio", rendering.png_size(F.col("content")).alias("size")).select("path", "ratio", "size.*")
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -56,3 +57,13 @@ def test_bounds_add_up_to_the_risk_at_most():
     level = q.ALPHA / sum(len(g) for *_, g in q.RULES)
     chosen = q.certified(counts, risk=0.005)
     assert len(chosen) == int(0.005 / q.upper_bound(0, 5000, level)) and q.certified(counts, risk=0.0001) == []
+
+
+def test_tails_of_large_counts_are_summed_whole():
+    n, p = 40_000_000, 0.03
+    sd = math.sqrt(n * p * (1 - p))
+    for z in (-4, -1, 0, 1, 3):
+        assert q.at_most(round(n * p + z * sd), n, p) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), rel=0.02)
+    for n, p in ((1, 0.5), (30, 0.02), (30, 0.9), (300, 0.4)):
+        for k in range(n):
+            assert q.at_most(k, n, p) == pytest.approx(math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)

@@ -74,6 +74,10 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.size("__at") > 0, covered).otherwise(F.lit(0).cast("long"))).drop("__at")
 
 
+#: The share of a tail that may be left out of its sum.
+EPSILON = 1e-15
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -84,9 +88,20 @@ def at_most(k: int, n: int, p: float) -> float:
         return 1.0
     if p >= 1:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
+    # from the largest term, each from its neighbour; ratios fall on the way, so what is left out is under a geometric series
+    first = min(k, int((n + 1) * p))
+    log = math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1) + first * math.log(p) + (n - first) * math.log1p(-p)
+    total = 1.0
+    down = (i * (1 - p) / ((n - i + 1) * p) for i in range(first, 0, -1))
+    up = ((n - i) * p / ((i + 1) * (1 - p)) for i in range(first, k))
+    for ratios in (down, up):
+        term = 1.0
+        for r in ratios:
+            term *= r
+            total += term
+            if r < 1 and term * r <= EPSILON * total * (1 - r):
+                break
+    return min(1.0, math.exp(log) * total)
 
 
 def upper_bound(k: int, n: int, level: float) -> float:

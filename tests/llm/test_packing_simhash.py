@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -58,14 +60,33 @@ def test_reduction_is_optimal_on_small_instances():
 def test_word_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
-    path = packing.default_tokenizer()
+    path, rng = packing.default_tokenizer(), random.Random(4)
     whole, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
-    texts = ["", "It's A test\x1c of\x85NFC é ́x", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ 中文 12 x_y!!\n\n\tz", " a　b\x0bc"]
-    for text, data in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(data, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert encoder.merges is not None
+    texts = [None, "", "It's A test\x1c of\x85NFC é e\u0301x", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ 中文 12 x_y!!\n\n\tz", " a\u3000b\x0bc", "İstanbul ǅ ɐ Ω \u212b"]
+    letters = "abcde stm'réÉßΣσ中1٣²!?-_.\u0301İǅ\x00|<>\n"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for part in (texts, ["plain words only", "and more"], [], [""]):
+        ids, sizes = encoder.chunk(pa.array(part, pa.string()), 1)
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(part, ends - sizes, ends):
+            assert ids[a:b].tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert encoder.merges is None
+    ids, sizes = encoder.chunk(pa.array(["two  words", None]), 7)
+    assert ids.tolist() == [*whole.encode("two  words", add_special_tokens=False).ids, 7, 7] and sizes.tolist() == [len(ids) - 1, 1]
 
 
 def test_packing_of_rows(spark):
+    from tokenizers import Tokenizer
+
     rows = [(i % 7, "the word " * (i * 37 % 400), "x", "y", 1) for i in range(60)] + [(None, None, None, None, None), (9, "", "", "", 0), (10, "a b c " * 9000, "", "", 0)]
     got = packing.pack(frame(spark, rows)).collect()
     used: dict[int, list] = {}
@@ -82,6 +103,15 @@ def test_packing_of_rows(spark):
     assert len(used) == -(-sum(r.length for r in got) // packing.LIMIT)
     assert packing.pack(frame(spark, [])).count() == 0
 
+    # every column of a piece, from the plain tokenizer
+    tokenizer, plain = Tokenizer.from_file(packing.default_tokenizer()), []
+    for doc, text, *_ in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for k, start in enumerate(range(0, len(ids), packing.LIMIT)):
+            part = ids[start : start + packing.LIMIT]
+            plain.append((str(doc), k, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(plain)
+
 
 def brute_print(text):
     low = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "")

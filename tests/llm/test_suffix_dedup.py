@@ -49,6 +49,16 @@ def test_repeats_with_small_shards_and_blocks(spark):
     check(spark, corpus(), most=3, shard=5)
 
 
+def test_copies_without_an_id_and_a_very_long_text(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    once, shared = noise(900), noise(260)
+    texts = [once] * 150 + [noise(40) + shared + noise(40) for _ in range(80)] + [noise(60_000) + shared]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.repeats(df, most=20).collect())
+    assert got == sorted(brute([t.encode() for t in texts]))
+
+
 def test_empty_table_and_kept_bytes(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.repeats(df).count() == 0

@@ -2,20 +2,22 @@
 
 Where two equal strings of LENGTH bytes are, the smallest hash of the GRAM-byte strings inside them, the
 leftmost of equals, is at the same place in both. So every text is reduced to these anchors, about one in seventy bytes,
-each with the hash of its context: the bytes of all strings of LENGTH whose anchor it is. Anchors are
+each with a 128-bit digest of its context: the bytes of all strings of LENGTH whose anchor it is. Anchors are
 counted over the corpus by their hash, with partial sums before the shuffle, and those that occur once drop out.
 An anchor whose whole context occurs again is repeated as far as its context goes. What is left are anchors
-that occur in different contexts, of which one copy each is compared.
+that occur in different contexts, of which one copy each is compared. Where counts meet anchors again, one that is frequent
+in a slice of texts is salted, and its count goes to each salt in use.
 
 These contexts form the texts of small shards, in which all suffixes that begin up to LENGTH bytes around an
 anchor are sorted: a bottom-up merge sort, whose comparisons find the common extension of two suffixes by
 binary search over prefix polynomial hashes, hence in a logarithmic number of steps. Neighbours that agree on LENGTH
 bytes are repeated, after a comparison of the bytes themselves; a collision there makes the shard sort
-again with another base. An anchor with more than MOST contexts is not sorted in one task: its strings are
-counted by 128-bit hashes instead, again with partial sums.
+again with another base. An anchor with more contexts than one task should sort has its strings grouped by their own bytes
+over the cluster, with partial sums, which finds the same.
 
-Texts are judged as UTF-8 bytes; null texts are empty. Repeated rows are copies of each other, so their
-strings repeat. Texts that need no comparison are finished with their first join; only others travel twice.
+Texts are judged as UTF-8 bytes, long ones in blocks that overlap; null texts are empty. Repeated rows, also those that share an id or have
+none, are copies of each other, so their strings repeat; ties between copies go by id and place. An empty table gives no rows. Only doc_id and text
+are read, so other columns may have any names. Texts that need no comparison are finished with their first join; only others travel twice.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,10 @@ from veriscribe.llm.common import drop, materialise, table
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM
-#: Bytes whose anchors are found at once; contexts in a shard; contexts of an anchor that one task sorts.
-BLOCK, SHARD, MOST = 1 << 21, 6_000, 2_000
+#: Bytes whose anchors are found at once; contexts in a shard; contexts of an anchor that one task sorts; times that an anchor is in a slice under one salt.
+BLOCK, SHARD, MOST, FREQUENT = 1 << 21, 6_000, 2_000, 16
+#: Salts of strings that many contexts of such an anchor have.
+SALTS = 16
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
 
 
@@ -117,12 +122,12 @@ def as_bytes(text: str | None) -> bytes:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(id, th, place, own, around, left, right) of every anchor: the text's id and hash, the anchor's place and hash, its context's hash and reach."""
+    """(id, th, place, own, a, b, left, right, salt) of every anchor: the text's id and hash, the anchor's place and hash, its context's digest and reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_digest
+        digest, task = xxhash.xxh3_128_digest, TaskContext.get().partitionId()
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
@@ -130,12 +135,24 @@ def anchors(docs: DataFrame) -> DataFrame:
                 number, place, own, left, right = anchors_of(texts)
                 right = right + LENGTH
                 found = b"".join([digest(texts[k][a:b]) for k, a, b in zip(number.tolist(), left.tolist(), right.tolist())])
-                around = np.frombuffer(found, ">u8").astype(np.uint64) + (place - left).astype(np.uint64)
+                a, b = np.frombuffer(found, ">i8").reshape(-1, 2).T.astype(np.int64)
+                a = a + (place - left)
+                order = np.argsort(own, kind="stable")
+                nth = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+                salt = np.empty(len(own), np.int64)
+                salt[order] = np.where(nth < FREQUENT, 0, nth // FREQUENT + (task % 64 << 10))
                 ids, hashes = batch.column(0).take(pa.array(number)), batch.column(1).take(pa.array(number))
                 reach = [pa.array((place - left).astype(np.int32)), pa.array((right - place).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(place), pa.array(own.view(np.int64)), pa.array(around.view(np.int64)), *reach], ["id", "th", "place", "own", "around", "left", "right"])
+                columns = [ids, hashes, *[pa.array(x) for x in (place, own.view(np.int64), a, b)], *reach, pa.array(salt.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "place", "own", "a", "b", "left", "right", "salt"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, place long, own long, around long, left int, right int")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, place long, own long, a long, b long, left int, right int, salt int")
+
+
+def spread(counts: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """A row of counts for salt 0 of its keys and for each other salt that rows have."""
+    more = rows.where("salt > 0").select(*keys, "salt").distinct().join(counts, [*keys])
+    return counts.withColumn("salt", F.lit(0)).unionByName(more)
 
 
 class Sorter:
@@ -286,7 +303,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-OPEN = pa.list_(pa.struct([("place", pa.int64()), ("own", pa.int64()), ("around", pa.int64())]))
+OPEN = pa.list_(pa.struct([("place", pa.int64()), ("own", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
 
 
 def result(doc_id: int | None, text: bytes, spans: list[tuple[int, int]], with_kept: bool) -> dict:
@@ -310,27 +327,31 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     found = materialise(anchors(keyed))
     # anchors that occur again, and whether in more than one context
-    twice = found.groupBy("own").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    again = materialise(found.join(twice.select("own", (F.col("low") != F.col("high")).alias("open")), "own"))
+    differ = (F.min("a") != F.max("a")) | (F.min("b") != F.max("b"))
+    twice = found.groupBy("own").agg(F.count("*").alias("n"), differ.alias("open")).where("n > 1").select("own", "open")
+    again = materialise(found.join(spread(twice, found, "own"), ["own", "salt"]))
     drop(found)
     # of each context of an open anchor: how often it occurs, and the copy to compare
-    copies = again.where("open").groupBy("own", "around").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "place")).alias("copy"))
+    open_ = again.where("open")
+    copies = open_.groupBy("own", "a", "b").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "place")).alias("copy"))
     copied = materialise(copies)
     kinds = copied.groupBy("own").agg(F.count("*").alias("kinds"))
     many = kinds.where(F.col("kinds") > most).select("own", F.lit(True).alias("many"))
     copies = copied.join(many, "own", "left")
-    marked = again.where("open").join(copies, ["own", "around"])
+    marked = open_.join(spread(copies, open_, "own", "a", "b"), ["own", "a", "b", "salt"])
+    fields = ["place", "own", "a", "b", "left", "right", "wait", "copy", "many"]
     first = F.col("copy") == F.struct("id", "th", "place")
-    marked = marked.select("id", "th", "place", "own", "around", "left", "right", F.when(F.col("times") == 1, F.when(F.coalesce("many", F.lit(False)), 2).otherwise(1)).otherwise(0).alias("wait"), (first).alias("copy"), F.coalesce("many", F.lit(False)).alias("many"))
-    closed = again.where("not open").select("id", "th", "place", "own", "around", "left", "right", F.lit(0).alias("wait"), F.lit(False).alias("copy"), F.lit(False).alias("many"))
-    each = closed.unionByName(marked).groupBy("id", "th").agg(F.collect_list(F.struct("place", "own", "around", "left", "right", "wait", "copy", "many")).alias("at"))  # of one text
+    marked = marked.select("id", "th", *fields[:6], (F.col("times") == 1).alias("wait"), first.alias("copy"), F.coalesce("many", F.lit(False)).alias("many"))
+    closed = again.where("not open").select("id", "th", *fields[:6], *[F.lit(False).alias(x) for x in fields[6:]])
+    each = closed.unionByName(marked).groupBy("id", "th").agg(F.collect_set(F.struct(*fields)).alias("at"))  # of one text, however many rows have it
 
     extra = [("kept", pa.binary())] if with_kept else []
-    schema = pa.schema([*RESULT, *extra, ("text", pa.binary()), ("waiting", OPEN), ("own", pa.int64()), ("around", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("many", pa.bool_()), ("kind", pa.int32())])
-    ddl = RESULT_DDL + ", kept binary" * with_kept + ", text binary, waiting array<struct<place:long,own:long,around:long>>, own long, around long, left int, context binary, many boolean, kind int"
+    schema = pa.schema([*RESULT, *extra, ("text", pa.binary()), ("waiting", OPEN), ("own", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("many", pa.bool_()), ("kind", pa.int32())])
+    ddl = RESULT_DDL + ", kept binary" * with_kept + ", text binary, waiting array<struct<place:long,own:long,a:long,b:long>>, own long, a long, b long, left int, context binary, many boolean, kind int"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: finished texts; 1: texts that wait for comparisons; 2: contexts to compare."""
+        """Kind 0: finished texts; 1: texts that wait for comparisons; 2: contexts to compare, each once in a task."""
+        given: set[tuple] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 out = []
@@ -340,11 +361,12 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
                     for x in row["at"] or ():
                         a, b = x["place"] - x["left"], x["place"] + x["right"]
                         if x["wait"]:
-                            waiting.append({k: x[k] for k in ("place", "own", "around")})
+                            waiting.append({k: x[k] for k in ("place", "own", "a", "b")})
                         else:
                             spans.append((a, b))
-                        if x["copy"]:
-                            out.append({"own": x["own"], "around": x["around"], "left": x["place"] - a, "context": text[a:b], "many": x["many"], "kind": 2})
+                        if x["copy"] and (key := (x["own"], x["a"], x["b"])) not in given:
+                            given.add(key)
+                            out.append({"own": x["own"], "a": x["a"], "b": x["b"], "left": x["place"] - a, "context": text[a:b], "many": x["many"], "kind": 2})
                     if waiting:
                         out.append({"doc_id": doc, "text": text, "spans": [{"start": a, "end": b} for a, b in merged(spans)], "waiting": waiting, "kind": 1})
                     else:
@@ -354,39 +376,34 @@ def repeats(docs: DataFrame, most: int = MOST, shard: int = SHARD, with_kept: bo
     passed = materialise(keyed.join(each, ["id", "th"], "left").select("id", "text", "at").mapInArrow(first_pass, ddl))
     drop(again)
     drop(copied)
-    contexts = passed.where("kind = 2").select("own", "around", "left", "context", "many")
+    contexts = passed.where("kind = 2").select("own", "a", "b", "left", "context", "many")
     n = contexts.where("not many").count()
-    dealt = contexts.where("not many").select("own", "around", "left", "context", F.pmod(F.xxhash64("own"), F.lit(max(1, -(-n // shard)))).alias("shard"))
+    dealt = contexts.where("not many").select("own", "a", "b", "left", "context", F.pmod(F.xxhash64("own"), F.lit(max(1, -(-n // shard)))).alias("shard"))
 
     def compare(group: pa.Table) -> pa.Table:
-        own, around = group["own"].to_pylist(), group["around"].to_pylist()
-        rows = list(zip(own, group["left"].to_pylist(), group["context"].to_pylist()))
-        found = [(o, r, a, b) for o, r, backs in zip(own, around, repeated(rows)) for a, b in runs(backs)]
-        columns = zip(*found) if found else ([], [], [], [])
-        return pa.table([pa.array(x, pa.int64()) for x in columns], ["own", "around", "start", "end"])
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                out: list[tuple] = []
-                for row in whole.slice(i, 500).to_pylist():
-                    text, left = row["context"], row["left"]
-                    for d in range(max(0, LENGTH - (len(text) - left)), left + 1):
-                        h = np.frombuffer(xxhash.xxh3_128_digest(text[left - d : left - d + LENGTH]), ">i8")
-                        out.append((row["own"], row["around"], d, int(h[0]), int(h[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], ["own", "around", "back", "a", "b"])
-
-    sorted_ = dealt.groupBy("shard").applyInArrow(compare, "own long, around long, start long, end long")
-    hashed = contexts.where("many").select("own", "around", "left", "context").mapInArrow(strings, "own long, around long, back long, a long, b long")
-    common = hashed.groupBy("own", "back", "a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    counted = hashed.join(common, ["own", "back", "a", "b"]).select("own", "around", (-F.col("back")).alias("start"), (LENGTH - F.col("back")).alias("end"))
+        keys = list(zip(*[group[x].to_pylist() for x in ("own", "a", "b")]))
+        rows = list(zip(group["own"].to_pylist(), group["left"].to_pylist(), group["context"].to_pylist()))
+        found = [(*key, start, end) for key, backs in zip(keys, repeated(rows)) for start, end in runs(backs)]
+        columns = zip(*found) if found else [[]] * 5
+        return pa.table([pa.array(x, pa.int64()) for x in columns], ["own", "a", "b", "start", "end"])
+
+    sorted_ = dealt.groupBy("shard").applyInArrow(compare, "own long, a long, b long, start long, end long")
+    # strings of the others: of each place left of the anchor, those that more than one context has, by their bytes
+    whole = contexts.where("many")
+    least = F.greatest(F.lit(0), LENGTH - F.length("context") + F.col("left"))
+    places = whole.select("own", "a", "b", "left", "context", F.explode(F.sequence(least, F.col("left"))).alias("back"))
+    strings = places.select("own", "a", "b", "back", F.substring("context", F.col("left") - F.col("back") + 1, F.lit(LENGTH)).alias("string"))
+    strings = strings.withColumn("salt", F.pmod(F.col("b"), F.lit(SALTS)).cast("int"))
+    common = strings.groupBy("own", "back", "string").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")).where("a0 <> a1 or b0 <> b1")
+    common = common.select("own", "back", "string", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    counted = strings.join(common, ["own", "back", "string", "salt"]).groupBy("own", "a", "b").agg(F.collect_set("back").alias("backs"))  # 137 at most
+    counted = counted.select("own", "a", "b", F.explode("backs").alias("back"))
+    counted = counted.select("own", "a", "b", (-F.col("back")).cast("long").alias("start"), (LENGTH - F.col("back")).cast("long").alias("end"))
     spans = materialise(sorted_.unionByName(counted))
 
     waiting = passed.where("kind = 1").select("doc_id", "text", "spans", "waiting").withColumn("uid", F.monotonically_increasing_id())
     asked = waiting.select("uid", F.explode("waiting").alias("w")).select("uid", "w.*")
-    told = asked.join(spans, ["own", "around"]).select("uid", (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"))
+    told = asked.join(spans, ["own", "a", "b"]).select("uid", (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"))
     told = told.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("more"))  # of one text
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

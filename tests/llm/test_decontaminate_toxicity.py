@@ -42,7 +42,7 @@ def test_contamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_words, shard_bytes in ((10_000, 10_000), (15, 300)):
         got = decontaminate.contamination(frame, bench, block_words=block_words, shard_bytes=shard_bytes).collect()
-        rows = [(r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], r["items"]) for r in got]
+        rows = [(r.row.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)], r["items"]) for r in got]
         assert sorted(rows, key=repr) == brute(docs, items)
     assert all(r.n_words >= 0 and not r.spans for r in decontaminate.contamination(frame, bench.limit(0)).collect())
     assert decontaminate.contamination(frame.limit(0), bench).count() == 0

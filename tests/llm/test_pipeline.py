@@ -33,6 +33,19 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(p.doc_id or -1 for p in pieces) == sorted(d or -1 for d, _ in seen["personal_data"])
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    """Names that stages and operators use themselves, and nulls in all columns."""
+    names = ["spans", "items", "n_words", "all_spans", "__fp", "__row", "__score", "score", "fp", "row", "n", "email", "base", "candidates"]
+    docs = spark.range(12).selectExpr("if(id = 3, null, id) as doc_id", "if(id = 4, null, concat('some words of row ', id % 9, ' mail a@b.cd and then more')) as text", *[f"if(id = 5, null, 'x') as {c}" for c in names])
+    write(spark, str(tmp_path), [], [(i, 1, 0) for i in range(12)], [(1, "never in here")])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert len(rows) > 0 and (name == "packing" or out.columns == docs.columns)
+        if name == "personal_data":
+            assert len(rows) == 12 and sum("[EMAIL]" in (r.text or "") for r in rows) == 11 and sum(r.row is None for r in rows) == 1
+
+
 def test_queries_are_registered():
     assert {name.split("_")[0] for name in registry.queries()} == {"pipeline"} | {f"op{n}" for n in range(1, 11)}
 

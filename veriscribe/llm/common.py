@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's spark.checkpoint.dir names it; one is made, and set, only where none is named.
+    The session's spark.checkpoint.dir names it. Where none is named, one is made for a session that has no other
+    machine than this; on a cluster there is then no place that all executors are known to see.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veriscribe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """(row, text) of every row, row with all its columns, so that no column made later can clash with them."""
+    return docs.select(F.struct("*").alias("row"), F.col("text"))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read again, which cuts its lineage.
 

@@ -8,10 +8,13 @@ benchmark are searched backwards at once through wavelet ranks, occurrences are
 nearest sampled position, and the spans found are merged for each document.
 
 The benchmark is taken in blocks of bounded size, each sent to the executors and searched in a pass of its
-own over documents that carry what earlier passes found; usually there is one block. Documents are not shuffled.
+own over documents that carry what earlier passes found; usually there is one block. An executor works on one
+at a time and keeps others on disk; the driver keeps the file of each until the result is dropped. Documents are not shuffled.
 
 Null and empty texts have no words, so no hits; null and empty benchmark texts have no windows. A null item_id
-counts as the empty id, items that share an id as one item. Repeated rows and ids are judged row by row.
+counts as the empty id, items that share an id as one item, and a tie between items as a hit of both. Repeated rows and ids are judged row by
+row. Long texts are searched whole, in a shard of their own if need be. Empty tables give no rows, an empty benchmark no hits. Input columns come
+back inside `row`, so they may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscribe.llm.common import table
+from veriscribe.llm.common import nested, table
 
 WINDOW = 10
 #: Words of the benchmark in a block, bytes of text in a shard, words between sampled positions.
@@ -199,7 +202,7 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, window: int, most: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's windows, by blocks of bounded size; the driver holds one at a time."""
+    """The benchmark's windows, by blocks of bounded size; held one at a time."""
     held, n = [], 0
     for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         words = words_of(text)
@@ -228,11 +231,10 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with n_words, spans of hit words (start and end, merged, in order) and the ids of items found."""
-    spark, names = docs.sparkSession, docs.columns
-    at = names.index("text")
+    """(row, text, n_words, spans, items): the input's rows as structs, their number of words, spans of hit words (start and end, merged, in order), and the ids of items found."""
+    spark, at = docs.sparkSession, 1
     empty = "cast(array() as array<struct<start:long,end:long>>)"
-    out = docs.select("*", F.lit(-1).cast("long").alias("n_words"), F.expr(empty).alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = nested(docs).select("*", F.lit(-1).cast("long").alias("n_words"), F.expr(empty).alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     found_any = False
 
@@ -272,7 +274,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -63,6 +63,15 @@ def test_values_straight_after_their_names_and_long_ones(spark):
     assert linked_values(spark, texts) == {0: [secret], 1: [key], 2: [late], 3: [], 4: []}
 
 
+def test_candidates_stand_alone_and_only_links_report_them(spark):
+    """The same candidate, with and without its parts; and what has too few classes or bits to be one."""
+    secret, near = "kP4vT9xQ2mZ7wR3nB8yL", "client_id: acme-dev host = db.example.org "
+    texts = [f"x {secret} y", near + secret, near + "A1a" * 8, near + "0123456701234567", near + "https://example.org/" + "word" * 9, f"https://example.org/ {secret}", near + "cafe0123beef4567"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_weak, r.n_linked) for r in secrets.secrets(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 0), 6: (1, 1)}
+
+
 def test_links_equal_all_pairs_however_long_the_parts(spark):
     rng, scope, rows = random.Random(2), 10, []
     for uid in range(200):

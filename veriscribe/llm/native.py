@@ -73,6 +73,17 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), own), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def entropy(value: Column) -> Column:
+    """Bits for each character of a value, by its own characters' shares; 0 of an empty one."""
+    n = F.length(value)
+
+    def part(c):
+        share = (n - F.length(F.replace(value, c, F.lit("")))) / n
+        return -share * F.log2(share)
+
+    return F.aggregate(F.transform(F.array_distinct(F.array_remove(F.split(value, ""), "")), part), F.lit(0.0), lambda a, x: a + x)
+
+
 def tagged(name: str, kind: str, number: int) -> Column:
     """Spans as (number, start, end, kind)."""
     return F.transform(name, lambda s: F.struct(F.lit(number).alias("number"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))

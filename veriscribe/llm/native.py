@@ -22,40 +22,18 @@ def with_spans(df: DataFrame, name: str, regex: str, when: Column | None = None,
     find = lambda g: F.when(inside, F.regexp_extract_all(text, F.lit(regex), F.lit(g))).otherwise(none)
     found, between, value, parts, made = (f"__{name}_{x}" for x in ("found", "between", "value", "parts", "made"))
     df = df.withColumns({found: find(0), between: F.when(inside, F.split(text, regex, -1)).otherwise(none)} | ({value: find(group)} if group else {}))
-    values = F.col(value if group else found)
-    gaps = F.slice(between, 1, F.size(found))
-    lengths = F.arrays_zip(
-        F.transform(gaps, F.length).alias("gap"),
-        F.transform(found, F.length).alias("own"),
-        values.alias("value"),
-        F.transform(gaps, lambda x: F.substring(x, -BEFORE, BEFORE)).alias("before"),
-    )
-    df = df.withColumn(parts, lengths)
-    df = df.drop(found, between, value)
-    size = F.greatest(F.ceil(F.sqrt(F.size(parts))), F.lit(1)).cast("int")
-    empty = F.lit(0), F.expr(f"cast(array() as {SPAN})")
-
-    def within(block: Column) -> Column:
-        """The length of a block and its matches, from its beginning."""
-        start = F.struct(empty[0].alias("at"), empty[1].alias("out"))
-
-        def step(x, p):
-            a = x["at"] + p["gap"]
-            b = a + p["own"]
-            return F.struct(b.alias("at"), F.concat(x["out"], F.array(F.struct(a.alias("start"), b.alias("end"), p["value"].alias("value"), p["before"].alias("before")))).alias("out"))
-
-        return F.aggregate(block, start, step)
-
-    blocks = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / size).cast("int")), lambda k: within(F.slice(parts, k * size + 1, size))))
-    blocks = blocks.otherwise(F.expr(f"cast(array() as array<struct<at:int,out:{SPAN}>>)"))
-    df = df.withColumn(made, blocks).drop(parts)
-
-    def joined(x, b):
-        moved = F.transform(b["out"], lambda s: F.struct((s["start"] + x["at"]).alias("start"), (s["end"] + x["at"]).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
-        return F.struct((x["at"] + b["at"]).alias("at"), F.concat(x["out"], moved).alias("out"))
-
-    start = F.struct(empty[0].alias("at"), empty[1].alias("out"))
-    return df.withColumn(name, F.aggregate(made, start, joined, lambda x: x["out"])).drop(made)
+    # the rest as SQL text, which is parsed faster than columns are put together
+    own = f"struct(length({between}[i]) AS gap, length(m) AS own, {value if group else found}[i] AS value, substring({between}[i], -{BEFORE}, {BEFORE}) AS before)"
+    df = df.withColumn(parts, F.expr(f"transform({found}, (m, i) -> {own})")).drop(found, between, value)
+    size = f"greatest(cast(ceil(sqrt(size({parts}))) AS int), 1)"
+    empty = f"struct(0 AS at, cast(array() AS {SPAN}) AS out)"
+    span = "struct(x.at + p.gap AS start, x.at + p.gap + p.own AS end, p.value AS value, p.before AS before)"
+    step = f"(x, p) -> struct(x.at + p.gap + p.own AS at, concat(x.out, array({span})) AS out)"
+    blocks = f"transform(sequence(0, cast(floor((size({parts}) - 1) / {size}) AS int)), k -> aggregate(slice({parts}, k * {size} + 1, {size}), {empty}, {step}))"
+    df = df.withColumn(made, F.expr(f"CASE WHEN size({parts}) > 0 THEN {blocks} ELSE cast(array() AS array<struct<at:int,out:{SPAN}>>) END")).drop(parts)
+    moved = "transform(b.out, s -> struct(s.start + x.at AS start, s.end + x.at AS end, s.value AS value, s.before AS before))"
+    joined = f"aggregate({made}, {empty}, (x, b) -> struct(x.at + b.at AS at, concat(x.out, {moved}) AS out), x -> x.out)"
+    return df.withColumn(name, F.expr(joined)).drop(made)
 
 
 def digits(value: Column) -> Column:

@@ -17,14 +17,17 @@ def with_spans(df: DataFrame, name: str, regex: str, when: Column | None = None,
     splitting by the same expression, and lengths add up to positions: in blocks of the square root of the
     number of matches, so that a text with very many of them is not quadratic. Where `when` is false there are none.
     """
-    inside = when if when is not None else F.lit(True)
+    # asked once: a condition that two columns use stays in a projection of its own
+    if when is not None:
+        df = df.withColumn(f"__{name}_in", when)
+    inside = F.col(f"__{name}_in") if when is not None else F.lit(True)
     none = F.expr("cast(array() as array<string>)")
     find = lambda g: F.when(inside, F.regexp_extract_all(text, F.lit(regex), F.lit(g))).otherwise(none)
     found, between, value, parts, made = (f"__{name}_{x}" for x in ("found", "between", "value", "parts", "made"))
     df = df.withColumns({found: find(0), between: F.when(inside, F.split(text, regex, -1)).otherwise(none)} | ({value: find(group)} if group else {}))
     # the rest as SQL text, which is parsed faster than columns are put together
     own = f"struct(length({between}[i]) AS gap, length(m) AS own, {value if group else found}[i] AS value, substring({between}[i], -{BEFORE}, {BEFORE}) AS before)"
-    df = df.withColumn(parts, F.expr(f"transform({found}, (m, i) -> {own})")).drop(found, between, value)
+    df = df.withColumn(parts, F.expr(f"transform({found}, (m, i) -> {own})")).drop(found, between, value, f"__{name}_in")
     size = f"greatest(cast(ceil(sqrt(size({parts}))) AS int), 1)"
     empty = f"struct(0 AS at, cast(array() AS {SPAN}) AS out)"
     span = "struct(x.at + p.gap AS start, x.at + p.gap + p.own AS end, p.value AS value, p.before AS before)"

@@ -11,7 +11,7 @@ from veriscribe.sources import files
 from veriscribe.streaming import judge as stream
 
 LOG = [
-    {"code_id": "a", "ratio": 1, "num_pages": 2, "text": "x\n<|end_of_box|>", "image_path": "i/a/f/page_001.png"},
+    {"code_id": "a", "ratio": 1, "num_pages": 2, "text": "x\n<|end_of_box|>", "image_path": "i/a/f/page_001.png", "image_paths": ["i/a/f/page_001.png", "i/a/f/page_002.png"]},
     {"ratio": 1.5, "text": "second", "image_path": "i\\b\\f\\page_002_ratio1.5.png"},
     {"ratio": 1.5, "text": "first", "image_path": "i/b/f/page_001_ratio1.5.png"},
     {"code_id": "c", "text": "no ratio"},
@@ -55,6 +55,24 @@ def test_log_to_summary(spark, home):
     assert judge.report(judge.summarise(details)).count() == 2
 
 
+def test_both_shapes_of_answers(spark):
+    rows = [
+        ("three", 1.0, None, ["p1", "p2", "p3"], "p1", "t"),  # listed, not counted
+        ("zero", 1.0, 0, ["p1", "p2"], "p1", "t"),
+        ("counted", 1.0, 5, ["p1"], "p1", "t"),
+        ("legacy", 1.0, 7, None, "x/legacy/d/p1", "t"),  # counted, not listed
+        ("empty", 1.0, 7, [], "p1", "t"),
+        ("twice", 1.0, 2, ["p1", "p2"], "p1", "one"),
+        ("twice", 1.0, 2, ["p1", "p2"], "p2", "two"),
+    ]
+    log = spark.createDataFrame([(*r, None) for r in rows], "code_id string, ratio double, num_pages int, image_paths array<string>, image_path string, text string, error string")
+    got = {r.code_id: (r.num_pages, r.hypothesis) for r in judge.merge_pages(judge.valid_answers(log)).collect()}
+    assert got == {"three": (3, "t"), "zero": (2, "t"), "counted": (5, "t"), "legacy": (1, "t"), "empty": (1, "t"), "twice": (2, "one\ntwo")}
+    cases = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "code_id string, ratio double")
+    done = spark.createDataFrame([("a", None), ("b", 1.0)], "code_id string, ratio double")
+    assert [r.code_id for r in judge.pending(cases, done).collect()] == ["a"]  # a row without a ratio says nothing
+
+
 def test_malformed_lines_and_resume(spark, home):
     (home / "log" / "c.jsonl").write_text('{"code_id": "q", "ratio": 1, "error": "x"}\n{broken\n')
     with pytest.raises(Exception):

@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from veriscribe.functions.layout import RATIOS
 
+#: Bytes for each core below which a table is dealt anew.
+PART = 32 << 20
 EXTRA_NAMES, EXTRA_LINE = "alpha_new = beta_new + gamma_new", "this_line_was_never_in_the_source = 12345"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), dealt to all cores where the table is too small to be read in enough parts.
+
+    A small Parquet file has one row group, which one task reads however many splits are asked for, and scoring costs far
+    more than reading. Tables of more bytes than PART for each core are left as they are read: nothing is shuffled there.
+    """
+    narrow, cores = docs.select("doc_id", "text"), docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return narrow.repartition(2 * cores, F.xxhash64("doc_id", "text")) if size < PART * cores else narrow
+
+
 def pairs(docs: DataFrame) -> DataFrame:
     """(code_id, doc_id, ratio, reference, hypothesis): the ratio and the flaw follow from the id; empty texts are left out."""
+    docs = spread(docs)
     text, kind = F.col("text"), F.pmod("doc_id", F.lit(8))
     lines = F.split(text, "\n", -1)
     last = F.element_at(lines, -1)

@@ -373,6 +373,14 @@ z AS (SELECT *, 1 / (1 + abs(token_ratio - 1) * CASE WHEN target < 50 THEN 1 WHE
  WHERE NOT (target >= 10000 AND fill < 0.03::DOUBLE AND fs < 6 OR target >= 3000 AND target < 10000 AND fill < 0.1::DOUBLE AND fs < 5)),
 c AS (SELECT *, 1.2::DOUBLE * large * CASE WHEN target < 50 THEN pow(near, 2.5) * pow(full_, 0.2) WHEN target < 100 THEN pow(near, 1.5) * pow(full_, 0.75) ELSE near * full_ * CASE WHEN target >= 5000 AND fs < 8 THEN 0.8::DOUBLE ELSE 1 END END AS score FROM z)"""
 _SIZES = "(SELECT unnest([14, 28, 56] || range(112, 4481, 112)) AS res)"
+_ROOM = lambda r: f"({r} - 2 * ({r} * 0.01::DOUBLE))"
+
+
+def _sql_pages(t: str, r: str, size: str) -> str:
+    """Pages that t tokens need at a resolution and font size."""
+    across, down = f"greatest(1, floor({_ROOM(r)} / ({size} * 0.6::DOUBLE)))", f"greatest(1, floor({_ROOM(r)} / {size}))"
+    chars = f"({t} * 3.5::DOUBLE)"
+    return f"CAST(greatest(1, ceil(({chars} * 1.3::DOUBLE + {chars} / 50 * ({across} * 0.3::DOUBLE)) / ({across} * {down}))) AS INT)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -402,7 +410,20 @@ def oracle_sql() -> dict[str, str]:
     q["q_text_structure"] = f"WITH {_D} SELECT doc_id, CAST(num_lines AS BIGINT) AS num_lines, CAST(max_line_chars AS BIGINT) AS max_line_chars, round(avg_line_chars, 6) AS avg_line_chars, total_chars FROM s"
     q["q_layout_candidates"] = f"WITH {_D} {_CANDIDATES} SELECT doc_id, count(*) AS n, CAST(sum(fs) AS BIGINT) AS fonts, CAST(sum(pages * tok) AS BIGINT) AS tokens, round(max(score), 6) AS best FROM c GROUP BY doc_id"
     q["q_layout_best"] = f"WITH {_D} {_CANDIDATES} SELECT doc_id, CAST(res AS INT) AS resolution, CAST(pages AS INT) AS pages, fs AS font_size, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, res, pages) = 1"
-    q["q_image_tokens"] = "SELECT p_partkey, CAST(floor((w / 16 * (h / 16)) / 4) AS INT) AS tokens, CAST(170 + least(2 * ceil(w / 14) * ceil(h / 14), 100) AS BIGINT) AS tile_tokens FROM (SELECT p_partkey, p_size * 32 AS w, p_partkey % 100 * 16 + 16 AS h FROM part)"
+    q["q_layout_fallback"] = f"WITH {_D} {_CANDIDATES} SELECT doc_id, 112 AS resolution, least({_sql_pages('t', '112', '3')}, 100) AS pages, 3 AS font_size FROM s WHERE NOT EXISTS (FROM c WHERE c.doc_id = s.doc_id)"
+    q["q_layout_exhaustive"] = f"""WITH {_D}, a AS (SELECT doc_id, t, res, CAST(floor((res / 16 * (res / 16)) / 4) AS INT) AS per, fs, {_sql_pages('t', 'res', 'fs')} AS pages FROM s, (SELECT unnest([112, 224, 448, 896, 1344, 1792, 2240]) AS res), (SELECT unnest(range(4, 151)) AS fs)),
+ b AS (SELECT *, pages * per AS tokens, min(pages) OVER (PARTITION BY doc_id, res) AS fewest, fewest * per <= 1.25::DOUBLE * t AS strict FROM a),
+ e AS (SELECT * FROM b WHERE CASE WHEN strict THEN tokens <= 1.25::DOUBLE * t ELSE pages <= fewest END QUALIFY row_number() OVER (PARTITION BY doc_id, res ORDER BY fs DESC) = 1)
+ SELECT doc_id, res AS resolution, pages, CAST(fs AS INT) AS font_size, tokens FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY strict DESC, CASE WHEN strict THEN res * 1000 + fs ELSE -tokens END DESC, fs DESC, res DESC) = 1"""
+    q["q_largest_font"] = f"""WITH {_D}, b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS n FROM d),
+ e AS (SELECT doc_id, fs, list_sum(list_transform(n, lambda x: greatest(1, ceil(x / greatest(1, floor({_ROOM('1024')} / (fs * 0.6::DOUBLE))))))) AS rows_, greatest(1, floor({_ROOM('1024')} / fs)) AS down FROM b, (SELECT unnest(range(4, 151)) AS fs))
+ SELECT doc_id, CAST(coalesce(max(fs) FILTER (WHERE ceil(rows_ / down) <= 2), 4) AS INT) AS font_size FROM e GROUP BY doc_id"""
+    q["q_estimates"] = f"""WITH {_D}, e AS (SELECT doc_id, t, {_ROOM('1120')} AS room, CASE WHEN t <= 0 THEN 40 ELSE greatest(4, least(150, CAST(floor(floor(sqrt(room * room * 0.95::DOUBLE / (t * 3.5::DOUBLE * 0.6::DOUBLE))) * 1.1::DOUBLE) AS INT))) END AS size,
+ greatest(4, least(150, sqrt(room * room / (t * 3.5::DOUBLE / 2 * 0.6::DOUBLE)))) AS size_two FROM s)
+ SELECT doc_id, size AS font_size, {_sql_pages('t', '1120', 'size')} AS pages, round(least(1.5::DOUBLE, 80 / (room / (size * 0.6::DOUBLE))), 6) AS fill,
+ round(CASE WHEN t <= 0 THEN 1.5::DOUBLE ELSE least(1.5::DOUBLE, 80 / (room / (size_two * 0.6::DOUBLE))) END, 6) AS fill_two,
+ t > 0 AND 1225 / t BETWEEN 0.9::DOUBLE AND 1.1::DOUBLE AS in_range, round(CASE WHEN t <= 0 THEN 999::DOUBLE ELSE 1225 / t END, 6) AS token_ratio FROM e"""
+    q["q_image_tokens"] ="SELECT p_partkey, CAST(floor((w / 16 * (h / 16)) / 4) AS INT) AS tokens, CAST(170 + least(2 * ceil(w / 14) * ceil(h / 14), 100) AS BIGINT) AS tile_tokens FROM (SELECT p_partkey, p_size * 32 AS w, p_partkey % 100 * 16 + 16 AS h FROM part)"
     q["q_fan_out"] = "SELECT CAST(r AS DOUBLE) AS ratio, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids FROM pages, (SELECT unnest([1, 1.5, 2, 4, 6, 8, 16]) AS r) GROUP BY r"
     q["q_closest_resolution"] = f"""WITH a AS (SELECT doc_id, CAST(r AS DOUBLE) AS ratio, res, floor((res / 16 * (res / 16)) / 4) AS tok, abs(tok - ceil(length(text) / 3.5) / CAST(r AS DOUBLE)) AS d FROM documents, (SELECT unnest([0.5, 1, 1.5, 2, 4, 8]) AS r), {_SIZES} WHERE text IS NOT NULL),
  b AS (SELECT *, min(d) OVER (PARTITION BY doc_id, ratio) AS least_ FROM a), c AS (SELECT doc_id, ratio, count(*) AS n, max(tok) AS hi, min(tok) AS lo, max(res) AS top, min_by(res, d * 100000 + res / 10000) AS near FROM b WHERE d <= least_ * 1.2::DOUBLE GROUP BY ALL)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriscribe.functions import layout as L
+from veriscribe.functions.register import register
 from veriscribe.operators import judge, layout_search, recognition, rendering
 from veriscribe.sources import files
 from veriscribe.streaming import judge as stream
@@ -266,3 +267,34 @@ def test_keys_and_flags(tmp_path):
     (tmp_path / ".env").write_text("# KEY=a\n\nKEY=\nKEY = 'secret'\n")
     assert files.key_from_env_files("KEY", [str(tmp_path / "none"), str(tmp_path / ".env")]) == "secret"
     assert files.flag("ON") and not files.flag("0") and files.flag(None, True) and not files.flag("on", on=("1",))
+
+
+def test_miner_array_and_status(spark, tmp_path):
+    with pytest.raises(ValueError):
+        files.read_mined(spark, lambda: [])
+    rows = files.read_mined(spark, lambda: [{"id": "b", "code": "x = 'é'\n"}, {"id": "a", "code": "y"}, {"id": "c", "code": None}])
+    files.write_truth_array(rows, str(tmp_path / "array"))
+    assert {(r.id, r.code) for r in files.read_truth(spark, str(tmp_path / "array")).collect()} == {("a", "y"), ("b", "x = 'é'\n"), ("c", None)}
+    files.write_truth_array(rows.where("false"), str(tmp_path / "none"))
+    assert files.read_truth(spark, str(tmp_path / "none")).count() == 0
+    log = spark.createDataFrame([("a", 1.0, None, "p1"), ("b", 1.0, "late", "p2"), ("c", 2.0, None, "")], "code_id string, ratio double, error string, image_path string")
+    cases = spark.createDataFrame([("d", 2.0), ("e", 1.0), ("a", 1.0)], "code_id string, ratio double")
+    done = spark.createDataFrame([("d", 2.0), ("d", 2.0), ("e", None)], "code_id string, ratio double")
+    assert judge.status_counts(log, cases, done).first().asDict() == {"ok": 2, "skipped": 1, "error": 1}
+    assert judge.status_counts(log.limit(0), cases.limit(0), done).first().asDict() == {"ok": 0, "skipped": 0, "error": 0}
+    images = spark.createDataFrame([("p1",), ("p3",), ("",)], "path string")
+    assert {r.path for r in judge.pending_pages(images, log).collect()} == {"p3", ""}
+    assert [tuple(r) for r in judge.in_order(cases).collect()] == [("a", 1.0), ("d", 2.0), ("e", 1.0)]
+
+
+def test_table_functions(spark):
+    register(spark)
+    texts = spark.createDataFrame([(1, "abcdefg\n\nxy"), (2, ""), (3, "a\nb\nc\nd\ne")], "id int, x string")
+    texts.createOrReplaceTempView("texts_of_pages")
+    got = sorted(map(tuple, spark.sql("SELECT id, page, page_rows FROM texts_of_pages, LATERAL text_pages(x, 3, 2)").collect()))
+    assert got == [(1, 1, ["abc", "def"]), (1, 2, ["g", ""]), (1, 3, ["xy"]), (2, 1, [""]), (3, 1, ["a", "b"]), (3, 2, ["c", "d"]), (3, 3, ["e"])]
+    texts = spark.createDataFrame([(t, t, 1, 1, 1.0, 1.0) for t in (30, 700, 4000)], "id int, text_tokens int, num_lines int, max_line_chars int, avg_line_chars double, compression_ratio double")
+    want = {(r.id, r.resolution, r.pages, r.tokens) for r in layout_search.candidates(texts).collect()}
+    texts.createOrReplaceTempView("targets")
+    found = {tuple(r) for r in spark.sql("SELECT id, resolution, pages, tokens FROM targets, LATERAL layout_sizes(CAST(text_tokens AS DOUBLE))").collect()}
+    assert found >= want and found

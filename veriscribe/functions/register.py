@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from veriscribe.functions import layout as L
 from veriscribe.functions import metrics as M
 
 #: Name, parameters and body of the SQL functions.
@@ -17,9 +18,35 @@ SQL_FUNCTIONS = [
 ]
 
 
+def _band(bands: list[tuple[float | None, float]]) -> str:
+    return "CASE " + " ".join(f"WHEN target < {bound} THEN {value}D" for bound, value in bands[:-1]) + f" ELSE {bands[-1][1]}D END"
+
+
+#: Name, parameters, columns and body of the SQL table functions: a text's pages of wrapped rows, and the layouts in a token band.
+TABLE_FUNCTIONS = [
+    (
+        "text_pages",
+        "x STRING, across INT, down INT",
+        "page INT, page_rows ARRAY<STRING>",
+        "SELECT p, slice(r, (p - 1) * down + 1, down) FROM (SELECT r, explode(sequence(1, greatest(1, CAST(ceil(size(r) / down) AS INT)))) AS p FROM (SELECT flatten(transform(split(x, '\\n', -1),"
+        " l -> transform(sequence(0, greatest(0, CAST(ceil(length(l) / across) AS INT) - 1)), i -> substr(l, i * across + 1, across)))) AS r))",
+    ),
+    (
+        "layout_sizes",
+        "target DOUBLE",
+        "resolution INT, pages INT, tokens INT",
+        "SELECT res, p, p * per FROM (SELECT res, per, explode(sequence(low, high)) AS p FROM (SELECT res, per,"
+        f" CAST(greatest(1, ceil(target * {_band(L.LOWEST)} / per)) AS INT) AS low, CAST(least(100, floor(target * {_band(L.HIGHEST)} / per)) AS INT) AS high"
+        " FROM (SELECT res, image_tokens(res, res) AS per FROM (SELECT explode(sequence(112, 4480, 112)) AS res))) WHERE low <= high)",
+    ),
+]
+
+
 def register(spark: SparkSession) -> None:
     for name, parameters, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURN {body}")
+    for name, parameters, columns, body in TABLE_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {body}")
     spark.udf.register("edit_distance", M._distance)
     spark.udf.register("wer", M.wer)
     spark.udf.register("token_scores", M.token_scores)

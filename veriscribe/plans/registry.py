@@ -125,7 +125,8 @@ def q_merge_pages(spark, sf_dir):
 
 def q_group_pages(spark, sf_dir):
     images = _log(spark, sf_dir).select(F.replace("image_path", F.lit("\\"), F.lit("/")).alias("path"))
-    return judge.group_pages(images).select("code_id", "ratio", F.size("page_paths").cast("long").alias("n_pages"), F.col("page_paths")[0].alias("first_page"))
+    cases = judge.in_order(judge.group_pages(images))
+    return cases.select("code_id", "ratio", F.size("page_paths").cast("long").alias("n_pages"), F.col("page_paths")[0].alias("first_page"))
 
 
 def q_path_parse(spark, sf_dir):
@@ -133,6 +134,22 @@ def q_path_parse(spark, sf_dir):
     return _log(spark, sf_dir).select("image_path", T.code_of(path).alias("code_id"), T.page_of(path).alias("page_num"), T.ratio_of(path).alias("ratio"), T.is_image(path).alias("is_image"))
 
 
+#: Names of files with the page and ratio that they say, in turn for the pages of the table.
+_NAMES = [("page_001_ratio2.png", 1, 2.0), ("page_001_ratio1.5.jpg", 1, 1.5), ("page_012_ratio1_5.png", 12, 1.5), ("page_001.png", 1, 1.0), ("page_003_ratioX.png", 3, 1.0), ("cover.PNG", 0, 1.0), ("notes.txt", 0, 1.0)]
+
+
+def q_path_shapes(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n, _, _ in _NAMES]), (F.col("page_id") % len(_NAMES) + 1).cast("int"))
+    path = F.col("path")
+    df = _table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/c"), F.col("page_id").cast("string"), F.lit("/448x448/"), name).alias("path"))
+    return df.select("path", T.code_of(path).alias("code_id"), T.page_of(path).alias("page_num"), T.ratio_of(path).alias("ratio"), T.is_image(path).alias("is_image"))
+
+
+def q_status_counts(spark, sf_dir):
+    done = _labelled(spark, sf_dir).withColumn("ratio", F.lit(1.5))
+    return judge.status_counts(_log(spark, sf_dir), _pairs(spark, sf_dir).select("code_id", "ratio"), done)
+
+
 def _labelled(spark, sf_dir):
     return _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("code_id"))
 
@@ -403,7 +420,11 @@ def oracle_sql() -> dict[str, str]:
     q["q_merge_pages"] = rf"WITH {_LOG} SELECT code_id, ratio, CAST(count(*) AS INT) AS num_pages, md5(string_agg({_STRIP('text')}, chr(10) ORDER BY image_path)) AS md5 FROM l WHERE turn <> 3 AND text IS NOT NULL GROUP BY code_id, ratio"
     q["q_group_pages"] = f"WITH {_LOG} SELECT code_id, ratio, count(*) AS n_pages, replace(min_by(image_path, turn), chr(92), '/') AS first_page FROM l GROUP BY code_id, ratio"
     q["q_path_parse"] = f"WITH {_LOG} SELECT image_path, code_id, CAST(turn AS INT) AS page_num, ratio, true AS is_image FROM l"
-    q["q_resume_anti"] = f"WITH {_PAIRS} SELECT code_id, ratio FROM p WHERE NOT (ratio = 1.5 AND doc_id IN (SELECT doc_id FROM labels))"
+    names, numbers, ratios = ([x[i] for x in _NAMES] for i in range(3))
+    q["q_path_shapes"] = f"""SELECT 'pages/c' || page_id || '/448x448/' || {names}[k] AS path, 'c' || page_id AS code_id, CAST({numbers}[k] AS INT) AS page_num, CAST({ratios}[k] AS DOUBLE) AS ratio,
+ {names}[k] <> 'notes.txt' AS is_image FROM (SELECT page_id, page_id % {len(_NAMES)} + 1 AS k FROM pages)"""
+    q["q_status_counts"] = f"WITH {_PAIRS} SELECT count(*) FILTER (WHERE turn IS DISTINCT FROM 3) AS ok, (SELECT count(*) FROM p WHERE ratio = 1.5 AND doc_id IN (SELECT doc_id FROM labels)) AS skipped, count(*) FILTER (WHERE turn = 3) AS error FROM conversations"
+    q["q_resume_anti"] =f"WITH {_PAIRS} SELECT code_id, ratio FROM p WHERE NOT (ratio = 1.5 AND doc_id IN (SELECT doc_id FROM labels))"
     q["q_ground_truth_join"] = f"WITH {_PAIRS} SELECT code_id, ratio, length(d.text) AS n_chars FROM p JOIN documents d USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM labels)"
     q["q_unmatched"] = f"WITH {_PAIRS} SELECT code_id, ratio FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
     q["q_last_of_each"] = "SELECT CAST(conv_id AS VARCHAR) AS id, max_by(text, turn) AS code FROM conversations GROUP BY conv_id"

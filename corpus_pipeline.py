@@ -2,7 +2,8 @@
 
 Stages take any columns beside doc_id and text, whatever their names, and all but the last give them back. An empty table
 gives an empty table. Null texts count as empty, and texts of any length are judged whole. Rows that repeat, or share an
-id, or have none, are rows of their own; what a stage does with ties is said there.
+id, or have none, are rows of their own; what a stage does with ties is said there. Each stage gives memory back that the driver
+no longer uses.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscribe.llm import best_fit_packing, decontaminate, pii, simhash, toxicity
-from veriscribe.llm.common import materialise, nested, shared_dir, table
+from veriscribe.llm.common import materialise, nested, shared_dir, table, tidy
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty and null texts get the score of a text without words. Equal texts get one score, so repeated rows stay or go together.
     """
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    tidy(spark)
     return toxicity.with_score(nested(docs), model).where("score < 0.5").select("row.*")
 
 
@@ -31,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share that id, the first written; rows without an id go for any that has one. All empty and null texts
     are one component, as their fingerprint is one.
     """
+    tidy(spark)
     prints = simhash.with_fingerprint(nested(docs)).withColumn("n", F.monotonically_increasing_id())
     rows = materialise(prints.select("row", "fp", "n"))
     named = simhash.components(rows.select(F.col("row.doc_id").alias("doc_id"), "fp"))
@@ -41,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; null and empty texts have none and stay."""
+    tidy(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("spans") == 0).select("row.*")
 
@@ -50,7 +54,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null. Of spans that overlap, the first to start names the replacement.
     """
+    tidy(spark)
     found = pii.personal_data(docs)
+    tidy(spark)
     old = F.col("row").getField("text")
     text = F.when(F.size("all_spans") > 0, pii.redacted(old, F.col("all_spans"))).otherwise(old)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -59,6 +65,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document, with its place in a sequence; null and empty texts give a piece of the end token."""
+    tidy(spark)
     return best_fit_packing.pack(docs)
 
 

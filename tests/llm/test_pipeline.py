@@ -46,6 +46,19 @@ def test_columns_of_any_name(spark, tmp_path):
             assert len(rows) == 12 and sum("[EMAIL]" in (r.text or "") for r in rows) == 11 and sum(r.row is None for r in rows) == 1
 
 
+def test_stages_give_memory_back(spark, tmp_path, monkeypatch):
+    from veriscribe.llm import common
+
+    assert common.tidy(spark)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    write(spark, str(tmp_path), [], [(1, 1, 0)], [(1, "never in here")])
+    for name, stage in corpus_pipeline.STAGES:
+        calls = []
+        monkeypatch.setattr(corpus_pipeline, "tidy", calls.append)
+        stage(spark, docs, str(tmp_path))
+        assert calls and calls[0] is spark, name
+
+
 def test_queries_are_registered():
     assert {name.split("_")[0] for name in registry.queries()} == {"pipeline"} | {f"op{n}" for n in range(1, 11)}
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +33,39 @@ def nested(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("text"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again, which cuts its lineage.
+def tidy(spark: SparkSession) -> bool:
+    """Collect the driver's garbage and give what is free to the machine; whether its JVM did so too.
 
-    What was shuffled on the way is of no more use. Spark removes it once the driver has collected its own
-    references, so that is asked for here rather than left to chance.
+    Spark removes what was shuffled once the driver has collected its own references. Python and the JVM's compilers
+    keep freed memory in the heaps of their C library, some hundred MB after many plans, unless those are trimmed.
     """
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    try:
+        java, of = spark.sparkContext._gateway.new_array, jvm.java.lang.Class.forName
+        types, given = java(jvm.java.lang.Class, 4), java(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = of(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(beans, given)
+    except Py4JError:  # an older or another JVM
+        return False
+    return True
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again, which cuts its lineage; what was shuffled on the way goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

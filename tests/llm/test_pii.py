@@ -120,6 +120,20 @@ def test_the_table_teaches(spark):
     assert got == {99: ["(212) 555-0199"]}
 
 
+def test_the_whole_table_teaches(spark):
+    """Every finding counts, however many texts and findings of a text there are, and copies once; the driver gets distinct features."""
+    mails = lambda i: " or ".join(f"u{i}x{j}@h{i % 90}.example.com" for j in range(5))
+    texts = [f"wort {i} {mails(i)}, und dann am Ende bezahlt mit dieser einen Karte, card 4111-1111-1111-1111, order 20{10000000 + i} and +1 ({200 + i}) 555-{1000 + i}" for i in range(700)]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    own = pii.learned(df)
+    label = lambda k, t: sum(n for *_, kind, y, _, n in own.rows if (kind, y) == (k, t))
+    assert label(3, 1) == 3500 and label(1, 1) == 700 and label(0, 0) == 700 and label(0, 1) == 1 and len(own) == len(list(own))
+    assert len(own.rows) < 200 and own == pii.learned(df.repartition(5))
+    _, y, weight = pii.weighed(own, 0)
+    assert weight[: len(own.rows)].max() <= pii.EXAMPLES and {0.0, 1.0} == set(y)
+    assert any(list(x) == pii.plain_features("2010000007", ", order ", 0)[:-1] for x, *_ in own.rows)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é write to a@b.c, or 1.2.3.4"), (2, "clean")], "doc_id long, text string")
     spans = pii.personal_data(df).withColumn("text", F.col("row.text")).withColumn("doc_id", F.col("row.doc_id"))

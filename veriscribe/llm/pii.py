@@ -8,10 +8,12 @@ threshold for each generator, calibrated on examples the trees have not seen, se
 stays, and none that touches a base span.
 
 The trees are grown on the driver, in a second or two, and become CASE expressions: nothing but DataFrame expressions runs on the
-executors. They learn from the table itself and from written examples. Of SEEN texts with base findings, those with the least
-hashes, the first FROM_EACH findings of a kind come to the driver with the words before them. Base findings written another way (a
-phone number without its country code, a card number with points, an address masked), where they stood, are positive; so are
-the candidates that a generator finds elsewhere in these texts negative, as long as no word before them speaks for them. Written examples bring the formats
+executors. They learn from the whole table and from written examples. Every base finding written another way (a
+phone number without its country code, a card number with points, an address masked), where it stood, is positive; so is
+every candidate that a generator of numbers finds elsewhere negative, as long as no word before it speaks for it. What has the same value
+after the same words counts once. The executors count them all by their features, and the driver gets the distinct features with their
+counts: as many as formats allow, however long the table. Trees and thresholds use the counts as weights, scaled down where the table would outweigh
+the written examples. These bring the formats
 that have no base kind, and dates, versions, orders, prices and the like; half of them stand after words of the table.
 
 Patterns are written with possessive quantifiers and look-behinds, so that no text makes them quadratic.
@@ -23,7 +25,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,8 +79,8 @@ FORMATS = [r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", r"^[0-9]{3}-[0-9
 #: Cuts of a feature that a tree tries, about.
 CUTS = 12
 TREES, DEPTH, RATE, LEAST, EXAMPLES, PRECISION, SEED = 25, 3, 0.4, 8, 400, 0.99, 11
-#: Texts of the table that the trees learn from, at most; findings and candidates of a kind from each; characters of one, at most.
-SEEN, FROM_EACH, LONGEST = 400, 3, 120
+#: Above FINE, numbers are learned from in steps of STEP, so that distinct features stay few.
+FINE, STEP = 64, 16
 
 
 def features(s: Column, kind: int) -> list[Column]:
@@ -108,12 +113,13 @@ def plain_features(value: str, before: str, kind: int) -> list[float]:
     return [float(x) for x in [*found, re.search(DATE, value) is not None, *[re.search(x, value) is not None for x in FORMATS], kind]]
 
 
-def examples(n: int, seed: int, befores: list[str] = ()) -> list[tuple[str, str, int, int]]:
-    """(value, text before, generator, label) of written examples, half of them after words of the table if there are any."""
+def examples(n: int, seed: int, befores: list[str] = (), counts: list[int] | None = None) -> list[tuple[str, str, int, int]]:
+    """(value, text before, generator, label) of written examples, half of them after words of the table if there are any, drawn by their counts."""
     rng = random.Random(seed)
+    sums = list(accumulate(counts or [1] * len(befores)))
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 8)))
-    plain = lambda: rng.choice(befores) if befores and rng.random() < 0.5 else f"{word()} {word()} "
+    plain = lambda: rng.choices(befores, cum_weights=sums)[0] if befores and rng.random() < 0.5 else f"{word()} {word()} "
     name = lambda: " ".join(word().capitalize() for _ in range(rng.randint(1, 2)))
 
     def checked(k: int) -> str:
@@ -160,28 +166,34 @@ def examples(n: int, seed: int, befores: list[str] = ()) -> list[tuple[str, str,
     return out
 
 
-def grown(x: np.ndarray, residual: np.ndarray, hessian: np.ndarray, depth: int) -> tuple:
-    """A regression tree: (value,) or (feature, cut, below or at, above)."""
+def grown(x: np.ndarray, residual: np.ndarray, hessian: np.ndarray, weight: np.ndarray, depth: int) -> tuple:
+    """A regression tree: (value,) or (feature, cut, below or at, above); residual and hessian hold the weight."""
     best, total = (1e-6, 0, 0.0), residual.sum() ** 2 / (hessian.sum() + 1)
     if depth:
         for f in range(x.shape[1]):
             cuts = np.unique(x[:, f])[:-1]
             for cut in cuts[:: 1 + len(cuts) // CUTS]:
                 low = x[:, f] <= cut
-                if LEAST <= low.sum() <= len(low) - LEAST:
+                if LEAST <= weight[low].sum() <= weight.sum() - LEAST:
                     gain = residual[low].sum() ** 2 / (hessian[low].sum() + 1) + residual[~low].sum() ** 2 / (hessian[~low].sum() + 1) - total
                     if gain > best[0]:
                         best = (gain, f, float(cut))
     if best[0] <= 1e-6:
         return (float(residual.sum() / (hessian.sum() + 1)),)
     low = x[:, best[1]] <= best[2]
-    return best[1], best[2], grown(x[low], residual[low], hessian[low], depth - 1), grown(x[~low], residual[~low], hessian[~low], depth - 1)
+    sides = [grown(x[side], residual[side], hessian[side], weight[side], depth - 1) for side in (low, ~low)]
+    return best[1], best[2], *sides
 
 
-def value_of(tree: tuple, x: list[float]) -> float:
-    while len(tree) > 1:
-        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-    return tree[0]
+def value_of(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """A tree's value for each row of features."""
+    if len(tree) == 1:
+        return np.full(len(x), tree[0])
+    return np.where(x[:, tree[0]] <= tree[1], value_of(tree[2], x), value_of(tree[3], x))
+
+
+def coarse(x: np.ndarray) -> np.ndarray:
+    return np.where(x > FINE, np.ceil(x / STEP) * STEP, x)
 
 
 def tree_sql(tree: tuple) -> str:
@@ -191,64 +203,80 @@ def tree_sql(tree: tuple) -> str:
     return f"CASE WHEN s.x[{tree[0]}] <= {tree[1]!r}D THEN {tree_sql(tree[2])} ELSE {tree_sql(tree[3])} END"
 
 
-def learned(docs: DataFrame) -> list[tuple[str, str, int, int]]:
-    """(value, text before, generator, label) from the table: base findings written another way, and candidates that are none."""
-    base = ("email", "phone", "card")
-    texts = docs.where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{16}")).select(F.xxhash64("text").alias("h"), "text")
-    top = texts.select("h").orderBy("h").limit(SEEN).agg(F.max("h")).first()[0]  # the hashes alone meet in one place
-    if top is None:
-        return []
-    df = base_spans(texts.where(F.col("h") <= top).dropDuplicates(["h"]).select("text"))
-    for name, pattern, _ in GENERATORS[:2]:
-        df = with_spans(df, name, pattern)
-        known = F.concat("email", "ip", "card", "phone")
-        df = df.withColumn("known", known).withColumn(name, F.filter(name, lambda s: ~F.exists("known", lambda b: over(s, b)) & ~s["before"].rlike(f"{CALL}|{HOLDER}")))
-    kinds = (*base, *[name for name, *_ in GENERATORS[:2]])
-    small = lambda k: F.transform(F.slice(k, 1, FROM_EACH), lambda s: F.struct(F.lit(k).alias("kind"), F.substring(s["value"], 1, LONGEST).alias("value"), s["before"].alias("before")))
-    found = df.select(F.explode(F.concat(*[small(k) for k in kinds])).alias("x")).select("x.*").orderBy("kind", "value", "before").collect()  # SEEN * FROM_EACH * 5 short rows at most
-    out = []
-    for kind, value, before in found:
-        if kind == "email":
-            name, _, host = value.partition("@")
-            out.append((f"{name} [at] {host.replace('.', ' [dot] ')}", before, 3, 1))
-        elif kind == "phone" and re.fullmatch(FORMATS[0][1:-1], rest := value.partition(" ")[2]):
-            out.append((rest, before, 1, 1))
-        elif kind == "card":
-            d = re.sub("[^0-9]", "", value)
-            out.append((".".join(d[i : i + 4] for i in range(0, len(d), 4)), before, 0, 1))
-        elif kind in ("number", "grouped"):
-            out.append((value, before, int(kind == "grouped"), 0))
-    return out
+@dataclass(frozen=True)
+class Learned:
+    """Examples (features, text before, generator, label) of a table; rows has the distinct features, with their fold and number."""
+
+    rows: tuple
+
+    def __len__(self) -> int:
+        return sum(n for *_, n in self.rows)
+
+    def __iter__(self) -> Iterator[tuple]:
+        return (r[:4] for r in self.rows for _ in range(r[-1]))
+
+
+def learned(docs: DataFrame) -> Learned:
+    """All base findings of the table written another way, and all candidates that are none, counted by their features."""
+    df = base_spans(docs.where("text is not null").select("text"))
+    known = F.concat("email", "ip", "card", "phone")
+    for name, pattern, needs in GENERATORS[:2]:
+        df = with_spans(df, name, pattern, F.col("text").rlike(needs))
+        df = df.withColumn(name, F.filter(name, lambda s: ~F.exists(known, lambda b: over(s, b)) & ~s["before"].rlike(f"{CALL}|{HOLDER}")))
+    v = F.col("value")
+    masked = F.concat(F.substring_index(v, "@", 1), F.lit(" [at] "), F.replace(F.substring_index(v, "@", -1), F.lit("."), F.lit(" [dot] ")))
+    as_new = {
+        "email": (3, 1, masked),
+        "phone": (1, 1, F.expr("if(instr(value, ' ') > 0, substring(value, instr(value, ' ') + 1), '')")),
+        "card": (0, 1, F.regexp_replace(digits(v), "([0-9]{4})(?=[0-9])", "$1.")),
+        "number": (0, 0, v),
+        "grouped": (1, 0, v),
+    }
+    of = lambda kind: F.transform(kind, lambda s: F.struct(F.lit(kind).alias("found"), s["value"].alias("value"), s["before"].alias("before")))
+    pick = lambda i: F.coalesce(*[F.when(F.col("found") == k, x[i] if isinstance(x[i], Column) else F.lit(x[i])) for k, x in as_new.items()])
+    each = df.select(F.explode(F.concat(*map(of, as_new))).alias("x")).select("x.*")
+    each = each.select("found", pick(2).alias("value"), "before").where((F.col("found") != "phone") | v.rlike(FORMATS[0])).distinct()
+    x = F.transform(F.array(*features(F.struct("value", "before"), 0)[:-1]), lambda f: F.when(f > FINE, F.ceil(f / STEP) * STEP).otherwise(f).cast("int"))
+    each = each.select(x.alias("x"), "before", pick(0).alias("kind"), pick(1).alias("label"), F.pmod(F.xxhash64("value", "before"), F.lit(2)).alias("fold"))
+    found = each.groupBy("x", "kind", "label", "fold").agg(F.min("before").alias("before"), F.count("*").alias("n")).collect()  # as many rows as formats allow
+    return Learned(tuple(sorted((tuple(r.x), r.before, r.kind, r.label, r.fold, r.n) for r in found)))
 
 
 def model(docs: DataFrame) -> tuple[list[tuple], list[float]]:
     """The trees, and each generator's threshold: the lowest that keeps the precision on unseen examples."""
-    return grown_from(tuple(learned(docs)))
+    return grown_from(learned(docs))
+
+
+def weighed(own: Learned, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of a fold of the table's examples and as many written ones; the table's of a generator and label weigh EXAMPLES at most."""
+    rows = [r for r in own.rows if r[4] == fold]
+    sums: dict = {}
+    for _, _, kind, label, _, n in rows:
+        sums[kind, label] = sums.get((kind, label), 0) + n
+    made = examples(EXAMPLES // 4, SEED + fold, [r[1] for r in rows], [r[-1] for r in rows])
+    x = [[*r[0], r[2]] for r in rows] + [plain_features(v, b, k) for v, b, k, _ in made]
+    weight = [r[-1] * min(1, EXAMPLES / sums[r[2], r[3]]) for r in rows] + [1] * len(made)
+    return coarse(np.array(x, float)), np.array([r[3] for r in rows] + [t for *_, t in made], float), np.array(weight, float)
 
 
 @lru_cache(maxsize=4)
-def grown_from(own: tuple) -> tuple[list[tuple], list[float]]:
-    """The model of written examples and of the table's own, every other of which is kept back for the thresholds."""
-    befores = [before for _, before, *_ in own]
-    data = [*own[::2], *examples(EXAMPLES // 4, SEED, befores[::2])]
-    x, y = np.array([plain_features(v, b, k) for v, b, k, _ in data]), np.array([t for *_, t in data], float)
+def grown_from(own: Learned) -> tuple[list[tuple], list[float]]:
+    """The model of written examples and of the table's own, a fold of which is kept back for the thresholds."""
+    x, y, weight = weighed(own, 0)
     z, trees = np.zeros(len(y)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-z))
-        tree = grown(x, y - p, p * (1 - p), DEPTH)
+        tree = grown(x, weight * (y - p), weight * p * (1 - p), weight, DEPTH)
         trees.append(tree)
-        z += RATE * np.array([value_of(tree, r) for r in x])
-    fresh = [*own[1::2], *examples(EXAMPLES // 4, SEED + 1, befores[1::2])]
-    scored = [(RATE * sum(value_of(t, plain_features(v, b, k)) for t in trees), k, label) for v, b, k, label in fresh]
-    cuts = []
+        z += RATE * value_of(tree, x)
+    x, y, weight = weighed(own, 1)
+    scores, cuts = RATE * sum(value_of(t, x) for t in trees), []
     for kind in range(len(GENERATORS)):
-        own = sorted(((s, label) for s, k, label in scored if k == kind), reverse=True)
-        hits, cut = 0, float("inf")
-        for n, (s, label) in enumerate(own, 1):
-            hits += label
-            if hits >= PRECISION * n and s > 0 and (n == len(own) or own[n][0] < s):
-                cut = s
-        cuts.append(cut)
+        of = np.flatnonzero(x[:, -1] == kind)
+        of = of[np.argsort(-scores[of], kind="stable")]
+        s, all_, hits = scores[of], np.cumsum(weight[of]), np.cumsum(weight[of] * y[of])
+        good = (hits >= PRECISION * all_ - 1e-9) & (s > 0) & np.append(s[1:] < s[:-1], True)
+        cuts.append(float(s[good][-1]) if good.any() else float("inf"))
     return trees, cuts
 
 

@@ -234,6 +234,32 @@ def test_pages_are_drawn_in_the_colours_of_their_tokens(spark):
     assert {tuple(x) for x in image.reshape(-1, 3).tolist()} >= {(0, 0x80, 0), (0, 0, 0xFF), (0xA3, 0x15, 0x15), (9, 0x86, 0x58), (0, 0, 0)}
 
 
+def test_resizing_weighs_only_pixels_in_reach(spark, monkeypatch):
+    """Sums over few pixels equal sums over all, and a page is read once for all its ratios."""
+    image = np.random.default_rng(3).integers(0, 256, (37, 53, 3)).astype(np.uint8)
+
+    def dense(old, new, lobes):
+        scale = old / new
+        x = (np.arange(old)[None, :] - ((np.arange(new) + 0.5) * scale - 0.5)[:, None]) / max(1.0, scale)
+        w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0) if lobes else np.maximum(0, 1 - np.abs(x))
+        return w / w.sum(axis=1, keepdims=True)
+
+    for lobes in (0, 3):
+        for width, height in ((20, 91), (53, 37), (1, 1), (160, 5)):
+            wanted = np.einsum("yh,hwc,xw->yxc", dense(37, height, lobes), image.astype(float), dense(53, width, lobes))
+            assert np.abs(rendering.resized(image, width, height, lobes) - np.clip(wanted, 0, 255)).max() <= 0.5 + 1e-6
+    sums, real = [], np.tensordot
+    monkeypatch.setattr(np, "tensordot", lambda *a, **k: sums.append(1) or real(*a, **k))
+    rendering.resized(image, 20, 20)
+    assert not sums  # no product with a whole matrix of weights
+    page, other = rendering.png(image), rendering.png(255 - image)
+    rows = [("a.png", x, c) for c in (page, other, b"none") for x in (1.0, 2.0, 4.0)]
+    found = rendering.degrade(spark.createDataFrame(rows, "path string, ratio double, content binary").coalesce(1)).collect()
+    for (_, x, c), r in zip(rows, found):
+        wanted = c if x == 1 else None if c == b"none" else rendering.png(rendering.degraded(rendering.pixels(c), x))
+        assert (None if r.content is None else bytes(r.content)) == wanted
+
+
 def test_rendering_queries_read_whole_documents(spark, tmp_path):
     from veriscribe.plans import registry
 

@@ -1,5 +1,7 @@
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -260,6 +262,60 @@ def test_resizing_weighs_only_pixels_in_reach(spark, monkeypatch):
         assert (None if r.content is None else bytes(r.content)) == wanted
 
 
+def test_pages_are_degraded_by_their_different_channels_and_inked_rows(spark, monkeypatch, tmp_path):
+    """Equal channels are resized once, blank rows not at all, and the result is that of whole images; small tables go to all cores."""
+    from veriscribe.plans import registry
+
+    def dense(old, new):
+        scale = old / new
+        x = (np.arange(old)[None, :] - ((np.arange(new) + 0.5) * scale - 0.5)[:, None]) / max(1.0, scale)
+        w = np.maximum(0, 1 - np.abs(x))
+        return w / w.sum(axis=1, keepdims=True)
+
+    def plain(image, width, height):
+        return np.einsum("yh,hwc,xw->yxc", dense(image.shape[0], height), image.astype(float), dense(image.shape[1], width))
+
+    black, blue = (rendering.drawn_planes(["ab c", "", "de"], 96, 12, colours=[c * 4, "", c * 2]) for c in "ab")
+    assert (len(black.each), black.rgb, len(blue.each), blue.rgb) == (1, (0, 0, 0), 2, (0, 0, 1)) and 0 < black.end == blue.end < 60
+    made, real = [], rendering.scaled
+    monkeypatch.setattr(rendering, "scaled", lambda rows, at, w: made.append(len(at)) or real(rows, at, w))
+    for page, n in ((black, 1), (blue, 2)):
+        image = page.image()
+        for x in (1.5, 2.0, 6.0):
+            made.clear()
+            found = rendering.degraded_planes(page, x)
+            assert len(made) == 4 * n and found.end < 96 and made[0] < int(96 / x) and (rendering.pixels(rendering.packed(found)) == found.image()).all()
+            small = rendering.resized(image, int(96 / x), int(96 / x))
+            assert np.abs(small - plain(image, int(96 / x), int(96 / x))).max() <= 0.5 + 1e-6
+            assert np.abs(found.image() - plain(small, 96, 96)).max() <= 0.5 + 1e-6
+        for sharp in (True, False):
+            content = rendering.packed(page, sharp)
+            assert (rendering.pixels(content) == image).all() and content[25] == (0 if n == 1 else 2)  # grey or RGB
+    rows = np.random.default_rng(5).integers(0, 256, (6, 13)).astype(np.uint8)
+    rows[:, 0] = [1, 2, 2, 0, 4, 2]
+    wanted = np.zeros((6, 4, 3), np.uint8)
+    for y in range(6):
+        for x in range(4):
+            for c in range(3):
+                a, b, d = (int(v) for v in (wanted[y, x - 1, c] if x else 0, wanted[y - 1, x, c] if y else 0, wanted[y - 1, x - 1, c] if x and y else 0))
+                near = min((a, b, d), key=lambda v: abs(a + b - d - v))
+                wanted[y, x, c] = (int(rows[y, 1 + 3 * x + c]) + (0, a, b, 0, near)[rows[y, 0]]) % 256
+    head, data = struct.pack(">IIBBBBB", 4, 6, 8, 2, 0, 0, 0), zlib.compress(rows.tobytes())
+    chunks = b"".join(struct.pack(">I", len(v)) + k + v + struct.pack(">I", zlib.crc32(k + v)) for k, v in ((b"IHDR", head), (b"IDAT", data), (b"IEND", b"")))
+    assert (rendering.pixels(b"\x89PNG\r\n\x1a\n" + chunks) == wanted).all()
+    text = "# note\n\ndef f(): return 'é'\r\n" * 30
+    pages = rendering.paginate(spark.createDataFrame([("a", text), ("b", "word"), ("c", None)], "code_id string, text string"), 256, 12)
+    ratios = [1.0, 1.5, 16.0]
+    apart = {r.path: r for r in rendering.degrade(layout_search.fan_out(rendering.render(pages, 256, 12), ratios)).collect()}
+    at_once = rendering.render_degraded(pages, ratios, 256, 12)
+    assert at_once._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1  # no images go from one task to another
+    rows = at_once.collect()
+    assert len(rows) == len(apart) == 3 * pages.count() > 9 and {r.path for r in rows} == set(apart)
+    assert all(r.ratio == apart[r.path].ratio and (rendering.pixels(bytes(r.content)) == rendering.pixels(bytes(apart[r.path].content))).all() for r in rows)
+    spark.createDataFrame([(i, "x") for i in range(9)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.q_degraded_pages(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_rendering_queries_read_whole_documents(spark, tmp_path):
     from veriscribe.plans import registry
 
